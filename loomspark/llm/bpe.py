@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,8 +189,6 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
 
 def token_counter(vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
     """A column function: number of tokens of a text (BIGINT, 0 for null and empty)."""
-    import pandas as pd
-
     path = f"{folder}/{vocabulary}.json"
 
     def count(texts: pd.Series) -> pd.Series:
