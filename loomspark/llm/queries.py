@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, canon, components, consensus, cooccur, sampling, terms
+from loomspark.llm import bpe, canon, components, consensus, cooccur, sampling, subjects, terms
 from loomspark.session import table
 
 
@@ -106,4 +106,16 @@ def p9_uses(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_assignment, p3_found, p3_report, p3_sample, p4_found, p4_terms, p5_found, p5_unmatched, p6_found, p6_pairs, p8_ids, p9_found, p9_report, p9_uses)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per area, hand-made labels included, and their share of all documents."""
+    documents = table(spark, d, "documents")
+    labelled = table(spark, d, "subject_labels").select("doc_id", "area_code").distinct()
+    per = p10_found(spark, d).unionByName(labelled).groupBy("area_code").agg(F.count("*").alias("documents"))
+    return per.crossJoin(F.broadcast(documents.agg(F.count_distinct("doc_id").alias("n")))).select("area_code", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_assignment, p3_found, p3_report, p3_sample, p4_found, p4_terms, p5_found, p5_unmatched, p6_found, p6_pairs, p8_ids, p9_found, p9_report, p9_uses, p10_found, p10_composition)}
