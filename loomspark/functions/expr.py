@@ -40,8 +40,8 @@ def split_keywords(*fields: Column, pattern: str = "[;,]", least: int = 2) -> Co
 
 
 def author_keys(authors: Column) -> Column:
-    """Distinct name|institution of a ';' list, in order; ASCII white space inside counts as one space."""
-    entries = F.filter(F.transform(F.split(F.regexp_replace(authors, r"[\s\x{85}\x{2028}\x{2029}]+", " "), ";"), lambda a: F.trim(a)), lambda a: a != "")
+    """Distinct name|institution of a ';' list, in order; runs of white space count as one space."""
+    entries = F.filter(F.transform(F.split(F.regexp_replace(authors, r"(?U)[\s\p{Z}]+", " "), ";"), lambda a: F.trim(a)), lambda a: a != "")
 
     def key(a: Column) -> Column:
         shape = r"^([^(]+?) *(?:\((.*)\))?$"

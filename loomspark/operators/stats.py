@@ -32,15 +32,15 @@ def hypergeometric_tails(df: DataFrame, big_k: str, big_n: str, n: str, k: str)
     sum are exploded, so a test with many terms is spread over tasks and summed map-side.
     """
     cols = [F.col(c).cast("bigint") for c in (big_k, big_n, n, k)]
-    base = df.withColumn("__id", F.monotonically_increasing_id()).select("*", *(c.alias(a) for c, a in zip(cols, ("__K", "__N", "__n", "__k"))))
-    base = base.withColumn("__all", log_choose(F.col("__N"), F.col("__n")))
-    low, high = F.greatest(F.lit(0).cast("bigint"), F.col("__n") + F.col("__K") - F.col("__N")), F.least(F.col("__K"), F.col("__n"))
-    terms = base.select("__id", "__K", "__N", "__n", "__k", "__all", F.explode(F.sequence(low, high)).alias("i"))
-    p = F.exp(log_choose(F.col("__K"), F.col("i")) + log_choose(F.col("__N") - F.col("__K"), F.col("__n") - F.col("i")) - F.col("__all"))
+    base = df.withColumn("__id", F.monotonically_increasing_id()).select("*", *(c.alias(a) for c, a in zip(cols, ("__kk", "__nn", "__n", "__k"))))
+    base = base.withColumn("__all", log_choose(F.col("__nn"), F.col("__n")))
+    low, high = F.greatest(F.lit(0).cast("bigint"), F.col("__n") + F.col("__kk") - F.col("__nn")), F.least(F.col("__kk"), F.col("__n"))
+    terms = base.select("__id", "__kk", "__nn", "__n", "__k", "__all", F.explode(F.sequence(low, high)).alias("i"))
+    p = F.exp(log_choose(F.col("__kk"), F.col("i")) + log_choose(F.col("__nn") - F.col("__kk"), F.col("__n") - F.col("i")) - F.col("__all"))
     sums = terms.withColumn("p", p).groupBy("__id").agg(F.sum(F.when(F.col("i") <= F.col("__k"), F.col("p")).otherwise(0.0)).alias("p_le"), F.sum(F.when(F.col("i") >= F.col("__k"), F.col("p")).otherwise(0.0)).alias("p_ge"))
-    out = base.join(sums, "__id").withColumn("expected", F.col("__n") * F.col("__K") / F.col("__N"))
+    out = base.join(sums, "__id").withColumn("expected", F.col("__n") * F.col("__kk") / F.col("__nn"))
     out = out.withColumn("p_side", F.when(F.col("__k") < F.col("expected"), F.least(F.lit(1.0), F.col("p_le"))).otherwise(F.least(F.lit(1.0), F.col("p_ge"))))
-    return out.drop("__id", "__K", "__N", "__n", "__k", "__all")
+    return out.drop("__id", "__kk", "__nn", "__n", "__k", "__all")
 
 
 def significance(p: Column, tests: Column) -> Column:

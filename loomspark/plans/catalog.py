@@ -229,7 +229,6 @@ def enum_order(spark, d):
     return n.select(ranking.in_enum_order("meth", METHS).cast("int").alias("place"), "meth", "n").orderBy("place")
 
 
-_TOKENS = """t AS (SELECT DISTINCT f.lang, u.kw FROM fact f, unnest(regexp_split_to_array(concat_ws(';', f.kw_ko, f.kw_en), '[;,]')) AS u(raw), LATERAL (SELECT trim(regexp_replace(lower(trim(regexp_replace(u.raw, '[\\s\\p{Z}\\x{85}]+', ' ', 'g'))), '[·\\-–—]+', ' ', 'g'), ' ') AS kw) AS u(kw))"""
 _KW = r"""kws AS (SELECT arti_id, lang, pub_year, trim(regexp_replace(lower(trim(regexp_replace(raw, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', ' ', 'g'))), '[·\-–—]+', ' ', 'g')) AS kw FROM (SELECT arti_id, lang, pub_year, unnest(regexp_split_to_array(concat_ws(';', kw_ko, kw_en), '[;,]')) AS raw FROM fact WHERE include = 'Y' AND lang IN ('영어', '한국어', '중국어'))), kw AS (SELECT * FROM kws WHERE length(kw) > 1)"""
 
 
@@ -501,7 +500,7 @@ def ttl_cache_hits(spark, d):
     return files.cache_state(e.select("user_id").distinct(), e.where("event_type = 'view'"), "user_id", "ts", now, 30).select("user_id", "state")
 
 
-@query("""WITH t AS (SELECT user_id, event_type, min(ts) AS at FROM events GROUP BY 1, 2) SELECT user_id, min(at)::TIMESTAMP AS first, string_agg(event_type, ' > ' ORDER BY at, event_type) AS tags FROM t GROUP BY user_id""")
+@query("""WITH t AS (SELECT user_id, event_type, min(ts) AS t0 FROM events GROUP BY 1, 2) SELECT user_id, min(t0)::TIMESTAMP AS first, string_agg(event_type, ' > ' ORDER BY t0, event_type) AS tags FROM t GROUP BY user_id""")
 def first_seen_provenance(spark, d):
     out = paged.first_seen(table(spark, d, "events"), "user_id", "ts", "event_type")
     return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.array_join("tags", " > ").alias("tags"))
@@ -520,7 +519,7 @@ def query_grid(spark, d):
 
 # --- graphs --------------------------------------------------------------------------------------------------------------
 
-_AUTHORS = r"""au AS (SELECT arti_id, lang, list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(authors, '[\s\x{85}\x{2028}\x{2029}]+', ' ', 'g'), ';'), x -> trim(x)), x -> x <> ''), a -> concat(trim(coalesce(nullif(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 1), ''), a)), '|', CASE WHEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '(?i)([가-힣A-Za-z&\.\- ]*?(?:대학교|대학|학교|연구원|연구소|교육청|University|College|Institute|School))', 1)) <> '' THEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '(?i)([가-힣A-Za-z&\.\- ]*?(?:대학교|대학|학교|연구원|연구소|교육청|University|College|Institute|School))', 1)) ELSE regexp_split_to_array(trim(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2)), ' +')[1] END))) AS keys FROM fact WHERE include = 'Y' AND lang IN ('영어', '한국어', '중국어') AND authors IS NOT NULL),
+_AUTHORS = r"""au AS (SELECT arti_id, lang, list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(authors, '[\s\p{Z}\x{85}]+', ' ', 'g'), ';'), lambda x: trim(x)), lambda x: x <> ''), lambda a: concat(trim(coalesce(nullif(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 1), ''), a)), '|', CASE WHEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '(?i)([가-힣A-Za-z&\.\- ]*?(?:대학교|대학|학교|연구원|연구소|교육청|University|College|Institute|School))', 1)) <> '' THEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '(?i)([가-힣A-Za-z&\.\- ]*?(?:대학교|대학|학교|연구원|연구소|교육청|University|College|Institute|School))', 1)) ELSE regexp_split_to_array(trim(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2)), ' +')[1] END))) AS keys FROM fact WHERE include = 'Y' AND lang IN ('영어', '한국어', '중국어') AND authors IS NOT NULL),
 nodes AS (SELECT DISTINCT lang, unnest(keys) AS node FROM au), ends AS (SELECT arti_id, lang, unnest(keys) AS node FROM au), edges AS (SELECT DISTINCT a.lang, a.node AS src, b.node AS dst FROM ends a JOIN ends b ON a.arti_id = b.arti_id AND a.lang = b.lang AND a.node < b.node)"""
 
 
@@ -546,8 +545,8 @@ def authorship(spark, d):
     return _authors(spark, d).groupBy("lang").agg(F.count("*").alias("papers"), F.round(F.avg(n), 6).alias("authors_per_paper"), F.round(100.0 * F.count_if(n <= 1) / F.count("*"), 4).alias("sole_pct"))
 
 
-@query(f"""WITH RECURSIVE {FACT}, {_AUTHORS}, num AS (SELECT lang, node, row_number() OVER (PARTITION BY lang ORDER BY node) AS i FROM nodes), e AS (SELECT a.lang, a.i AS x, b.i AS y FROM edges JOIN num a ON a.lang = edges.lang AND a.node = src JOIN num b ON b.lang = edges.lang AND b.node = dst), both AS (SELECT lang, x, y FROM e UNION ALL SELECT lang, y, x FROM e),
-walk(lang, i, c) USING KEY (lang, i) AS (SELECT lang, i, i FROM num UNION SELECT b.lang, b.y, min(w.c) FROM walk w JOIN both b ON b.lang = w.lang AND b.x = w.i JOIN recurring.walk r ON r.lang = b.lang AND r.i = b.y WHERE w.c < r.c GROUP BY b.lang, b.y), s AS (SELECT lang, c, count(*) AS size FROM walk GROUP BY 1, 2) SELECT lang, count(*) AS components, max(size) AS largest FROM s GROUP BY lang""")
+@query(f"""WITH RECURSIVE {FACT}, {_AUTHORS}, num AS (SELECT lang, node, row_number() OVER (PARTITION BY lang ORDER BY node) AS i FROM nodes), e AS (SELECT a.lang, a.i AS x, b.i AS y FROM edges JOIN num a ON a.lang = edges.lang AND a.node = src JOIN num b ON b.lang = edges.lang AND b.node = dst), twice AS (SELECT lang, x, y FROM e UNION ALL SELECT lang, y, x FROM e),
+walk(lang, i, c) USING KEY (lang, i) AS (SELECT lang, i, i FROM num UNION SELECT b.lang, b.y, min(w.c) FROM walk w JOIN twice b ON b.lang = w.lang AND b.x = w.i JOIN recurring.walk r ON r.lang = b.lang AND r.i = b.y WHERE w.c < r.c GROUP BY b.lang, b.y), s AS (SELECT lang, c, count(*) AS size FROM walk GROUP BY 1, 2) SELECT lang, count(*) AS components, max(size) AS largest FROM s GROUP BY lang""")
 def components(spark, d):
     a = _authors(spark, d)
     return graph.component_sizes(graph.components(graph.nodes_of(a, "lang", "keys"), graph.pair_edges(a, "lang", "keys"), "lang"), "lang")
