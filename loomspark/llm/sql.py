@@ -6,9 +6,9 @@ WITH RECURSIVE pairs AS (
   SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, decided_at, lower(regexp_replace(decision, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS word
   FROM author_matches WHERE left_id IS NOT NULL AND right_id IS NOT NULL AND left_id <> right_id
 ), last AS (
-  SELECT a, b, arg_max(word, decided_at) FILTER (WHERE word IS NOT NULL) AS word, max(decided_at) FILTER (WHERE word IS NOT NULL) AS said, max(decided_at) AS at FROM pairs GROUP BY a, b
+  SELECT a, b, arg_max(word, decided_at) FILTER (WHERE word IS NOT NULL) AS word, max(decided_at) FILTER (WHERE word IS NOT NULL) AS said, max(decided_at) AS latest FROM pairs GROUP BY a, b
 ), links AS (
-  SELECT a, b FROM last WHERE word = 'match' AND said = at AND a IN (SELECT mention_id FROM author_mentions) AND b IN (SELECT mention_id FROM author_mentions)
+  SELECT a, b FROM last WHERE word = 'match' AND said = latest AND a IN (SELECT mention_id FROM author_mentions) AND b IN (SELECT mention_id FROM author_mentions)
 ), edges AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach(node, root) AS (
