@@ -99,7 +99,7 @@ def detail_record(xml: Column) -> Column:
     words = F.array_distinct(F.filter(F.transform(elements(group, "keyword"), lambda k: element_text(F.regexp_replace(k, r"^<keyword[^>]*>|</keyword>$", ""))), lambda k: k != ""))
     korean = lambda k: k.rlike("[가-힣]")
     person = lambda a: F.struct(first_tag(a, "name").alias("name"), first_tag(a, "name-eng").alias("name_en"), first_tag(a, "institution").alias("affil"))
-    authors = F.filter(F.transform(elements(block(xml, "author-group"), "author"), person), lambda a: (a.name != "") | (a.name_en != ""))
+    authors = F.filter(F.transform(elements(block(xml, "author-group"), "author"), person), lambda a: (a["name"] != "") | (a["name_en"] != ""))
 
     def reference(r: Column) -> Column:
         head = F.regexp_extract(r, r"^(<reference[^>]*>)", 1)

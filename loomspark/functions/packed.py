@@ -6,7 +6,7 @@ Grammar (ordered alternatives, the first that matches wins):
     entry     <- (quoted / bracketed / reference / bare)*
     quoted    <- '"' ('""' / [^"])* '"'  /  '“' [^”]* '”'  /  '‘' [^’]* '’'
     bracketed <- [(（] (bracketed / [^)）])* [)）]
-    reference <- '&' ('#' [0-9]+ / '#x' [0-9a-f]+ / name) ';'
+    reference <- '&' ('#' [0-9]+ / '#x' [0-9a-f]+ / name of a character) ';'
     bare      <- any one character
 
 A quote or bracket that is never closed makes its alternative fail; the parser backtracks to the opening mark, takes
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,7 +74,7 @@ def _separators(text: str) -> tuple[list[int], dict[int, str]]:
                 unclosed.add(c)
                 flags[i] = "open_quote"
         elif c == "&":
-            if r := _REFERENCE.match(text, i):
+            if (r := _REFERENCE.match(text, i)) and (text[i + 1] == "#" or text[i + 1 : r.end()] in html5):
                 at = r.end()
         elif c in OPEN:
             if i in pairs:
