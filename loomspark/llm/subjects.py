@@ -181,7 +181,7 @@ def _wilson(k: Column, n: Column, z: float, upper: bool = False) -> Column:
     return (p + z2 / (2 * n) + (spread if upper else -spread)) / (1 + z2 / n)
 
 
-def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst_context: float, max_df: float = 0.1, min_df: int = 3, lift: float = 3.0, z: float = 1.96) -> tuple[dict[str, tuple[int, float]], set[str]]:
+def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst_context: float, max_df: float = 0.1, min_df: int = 3, odds: float = 8.0, z: float = 1.96) -> tuple[dict[str, tuple[int, float]], set[str]]:
     """Verified phrases {term: (area, weight)} and passing contexts, from the counts of all documents."""
     heads = {r["term"][1]: [r[f"c{k}"] for k in range(n_areas + 4)] for r in counted.where(F.col("term").startswith("\x00")).collect()}  # three rows
     spark = counted.sparkSession
@@ -192,7 +192,8 @@ def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst
     terms = terms.join(F.broadcast(head), "script")
     good = (F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(float(min_df)), F.col("docs") * max_df)) & (F.col("top") > 0)
     share = F.col("top") / F.col("n")
-    good = good & (_wilson(F.col("top"), F.col("n"), z) >= least) & (share >= purity) & (share >= lift * F.element_at("prior", F.col("at").cast("int"))) & (F.col("second") <= 0.6 * F.col("top"))
+    prior = F.element_at("prior", F.col("at").cast("int"))
+    good = good & (_wilson(F.col("top"), F.col("n"), z) >= least) & (share >= purity) & (share * (1 - prior) >= odds * prior * (F.col("n") + 0.5 - F.col("top")) / F.col("n")) & (F.col("second") <= 0.6 * F.col("top"))
     chosen = terms.where(good).select("term", (F.col("at") - 1).cast("int").alias("area"), _wilson(F.col("top"), F.col("n"), z).alias("weight")).limit(MAX_PHRASES + 1).collect()
     bad = terms.where((F.col("cn") > 0) & (_wilson(F.col("ck"), F.col("cn"), z, upper=True) <= worst_context)).select("term").limit(MAX_PHRASES + 1).collect()
     if max(len(chosen), len(bad)) > MAX_PHRASES:
@@ -260,8 +261,8 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
     if not fit:
         return spark.createDataFrame([], "doc_id bigint, area_code string")
     labelled = cut(docs.join(seeds.select("doc_id"), "doc_id", "left_semi"))
-    phrases, _ = _select(cut(_count_terms(labelled, n, fit, {}, set())), n, 0.5, 0.75, 0.5)
-    _, passing = _select(cut(_count_terms(labelled, n, fit, phrases, set())), n, 0.5, 0.75, 0.5)
+    phrases, _ = _select(cut(_count_terms(labelled, n, fit, {}, set())), n, 0.5, 0.75, 0.5, max_df=0.5)
+    _, passing = _select(cut(_count_terms(labelled, n, fit, phrases, set())), n, 0.5, 0.75, 0.5, max_df=0.5)
     phrases2, passing2 = _select(cut(_count_terms(docs, n, fit, phrases, passing)), n, 0.5, 0.65, 0.45)
     found = propagate(_links(docs, phrases2, passing2), seeds, n)
     named = found.select("doc_id", F.explode("areas").alias("a")).join(seeds.select("doc_id"), "doc_id", "left_anti")
