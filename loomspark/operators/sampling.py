@@ -50,7 +50,7 @@ def stratified(df: DataFrame, stratum: str, unit: str, n: int, seed: int, take_a
     keyed = rest.withColumn("__key", key)
     w = Window.partitionBy(stratum).orderBy("__key")
     ranked = keyed.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
-    drawn = ranked.join(F.broadcast(q.select(stratum, "quota")), stratum).where(F.col("__r") <= F.col("quota")).select(*df.columns)
+    drawn = ranked.join(q.select(stratum, "quota"), stratum).where(F.col("__r") <= F.col("quota")).select(*df.columns)
     return drawn.unionByName(df.where(F.col(stratum).isin(*take_all))) if take_all else drawn
 
 
