@@ -583,3 +583,86 @@ def stream_tumbling(spark, d):
 def stream_sessions(spark, d):
     s = windows.sessions(table(spark, d, "events"), "ts", "12 hours", "user_id")
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+# --- further forms -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 8000), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
+SELECT 'union all' AS op, count(*) AS n FROM (SELECT k FROM a UNION ALL SELECT k FROM b) UNION ALL SELECT 'union', count(*) FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'except all', count(*) FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b)""")
+def set_algebra(spark, d):
+    a = table(spark, d, "customer").where("c_acctbal > 8000").select(F.col("c_nationkey").alias("k"))
+    b = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    ops = {"union all": a.unionByName(b), "union": a.unionByName(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "except all": a.exceptAll(b)}
+    parts = [df.agg(F.lit(op).alias("op"), F.count("*").alias("n")) for op, df in ops.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {FACT} SELECT count(*) AS papers, count(*) FILTER (WHERE kw_ko <> '') AS with_kw_ko, count(*) FILTER (WHERE kw_en <> '') AS with_kw_en, count(*) FILTER (WHERE authors <> '') AS with_authors, count(*) FILTER (WHERE contains(authors, '(') OR contains(authors, '（')) AS with_affiliation, count(*) FILTER (WHERE doi <> '' AND NOT contains(doi, '<')) AS with_doi, sum(len(regexp_split_to_array(kw_en, '[;,]')))::BIGINT AS parts FROM fact""")
+def coverage_counters(spark, d):
+    f = fact(spark, d, "kw_ko", "kw_en", "authors", "doi")
+    has = lambda c: F.count_if(F.col(c) != "")
+    a, doi = F.col("authors"), F.col("doi")
+    return f.agg(F.count("*").alias("papers"), has("kw_ko").alias("with_kw_ko"), has("kw_en").alias("with_kw_en"), has("authors").alias("with_authors"), F.count_if(a.contains("(") | a.contains("（")).alias("with_affiliation"), F.count_if((doi != "") & ~doi.contains("<")).alias("with_doi"), F.sum(F.size(F.split("kw_en", "[;,]"))).cast("bigint").alias("parts"))
+
+
+@query(f"""WITH {FACT}, {_KW} SELECT arti_id, count(*) AS keywords, count(*) FILTER (WHERE regexp_matches(kw, '[가-힣]')) AS hangul, count(*) FILTER (WHERE NOT regexp_matches(kw, '[가-힣]') AND regexp_matches(kw, '[a-z]')) AS latin FROM kw GROUP BY arti_id""")
+def keyword_scripts(spark, d):
+    """Keywords per paper by script, counted inside the array of the row: no explode, no shuffle of keywords."""
+    rows = fact(spark, d, "include", "lang", "kw_ko", "kw_en").where((F.col("include") == "Y") & F.col("lang").isin(*LANGS)).select("arti_id", X.split_keywords(F.col("kw_ko"), F.col("kw_en")).alias("k"))
+    number = lambda p: F.size(F.filter("k", p)).cast("bigint")
+    return rows.where(F.size("k") > 0).select("arti_id", F.size("k").cast("bigint").alias("keywords"), number(lambda x: x.rlike(X.HANGUL)).alias("hangul"), number(lambda x: ~x.rlike(X.HANGUL) & x.rlike("[a-z]")).alias("latin"))
+
+
+@query(f"""WITH {FACT}, d AS (SELECT lang, arti_id, func, meth, rep, row_number() OVER (PARTITION BY lang, rep ORDER BY md5(concat_ws('|', '20260930', rep, arti_id))) AS r FROM fact CROSS JOIN (SELECT unnest(range(1, 31)) AS rep) WHERE include = 'Y' AND lang IN ({_list(LANGS)}) AND func <> '기능비특정' AND meth IS NOT NULL), s AS (SELECT n, lang, rep, count(DISTINCT (func, meth)) AS cells FROM d JOIN (SELECT unnest([10, 15, 20]) AS n) ON r <= n GROUP BY 1, 2, 3) SELECT n, lang, count(*) AS draws, round(avg(cells), 6) AS mean, min(cells) AS least, max(cells) AS most FROM s GROUP BY 1, 2""")
+def rarefaction_sizes(spark, d):
+    """Sensitivity of the occupied cells to the size of the draw; nested draws share their order."""
+    from pyspark.sql import Window
+
+    rows = fact(spark, d, "include", "lang", "func", "meth").where(F.col("lang").isin(*LANGS) & F.expr("include = 'Y' and func <> '기능비특정' and meth is not null"))
+    draws = sampling.simple_draws(rows, "lang", "arti_id", 20, 30, 20260930)
+    w = Window.partitionBy("lang", "rep").orderBy(sampling.draw_key(20260930, F.col("rep"), F.col("arti_id")))
+    nested = draws.withColumn("r", F.row_number().over(w)).withColumn("n", F.explode(F.array(F.lit(10), F.lit(15), F.lit(20)))).where("r <= n")
+    cells = nested.groupBy("n", "lang", "rep").agg(F.count_distinct("func", "meth").alias("cells"))
+    return cells.groupBy("n", "lang").agg(F.count("*").alias("draws"), F.round(F.avg("cells"), 6).alias("mean"), F.min("cells").alias("least"), F.max("cells").alias("most"))
+
+
+@query("""SELECT event_type, count(*) FILTER (WHERE date_trunc('week', ts) = TIMESTAMP '2024-01-01') AS w1, count(*) FILTER (WHERE date_trunc('week', ts) = TIMESTAMP '2024-01-08') AS w2, count(*) FILTER (WHERE date_trunc('week', ts) = TIMESTAMP '2024-01-15') AS w3 FROM events GROUP BY event_type""")
+def pivot_weeks(spark, d):
+    e = table(spark, d, "events").withColumn("w", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
+    weeks = ["2024-01-01", "2024-01-08", "2024-01-15"]
+    wide = e.groupBy("event_type").pivot("w", weeks).count().na.fill(0)
+    return wide.select("event_type", *(F.col(w).alias(f"w{i}") for i, w in enumerate(weeks, 1)))
+
+
+@query("""SELECT window_start::TIMESTAMP AS window_start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - to_hours(0) AS window_start, event_type FROM events UNION ALL SELECT date_trunc('day', ts - INTERVAL 12 HOURS) + INTERVAL 12 HOURS, event_type FROM events) GROUP BY 1, 2""")
+def stream_sliding(spark, d):
+    s = windows.sliding(table(spark, d, "events"), "ts", "1 day", "12 hours", "event_type")
+    return s.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query(f"""WITH {FACT} SELECT arti_id, title_ko FROM fact WHERE pub_year BETWEEN 2020 AND 2023 AND (contains(title_ko, '챗봇') OR contains(title_ko, '프롬프트') OR regexp_matches(title_en, '(?i)corpus|speech recog'))""")
+def title_filter(spark, d):
+    t = F.coalesce("title_ko", F.lit(""))
+    hit = F.exists(F.array(F.lit("챗봇"), F.lit("프롬프트")), lambda k: F.contains(t, k)) | F.coalesce("title_en", F.lit("")).rlike("(?i)corpus|speech recog")
+    return fact(spark, d, "pub_year", "title_ko", "title_en").where(F.col("pub_year").between(2020, 2023) & hit).select("arti_id", "title_ko")
+
+
+@query("""WITH k AS (SELECT o_custkey, min(year(o_orderdate)) AS first_year FROM orders GROUP BY o_custkey), g AS (SELECT n_name, first_year, count(*) AS customers FROM k JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) SELECT n_name, first_year::INTEGER AS first_year, customers, sum(customers) OVER (PARTITION BY n_name ORDER BY first_year)::BIGINT AS so_far FROM g""")
+def cohort_growth(spark, d):
+    """First order year per customer, customers per nation and year, and their running total."""
+    from pyspark.sql import Window
+
+    first = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.year("o_orderdate")).alias("first_year"))
+    joined = first.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    g = joined.groupBy("n_name", "first_year").agg(F.count("*").alias("customers"))
+    return g.withColumn("so_far", F.sum("customers").over(Window.partitionBy("n_name").orderBy("first_year")))  # aggregated first: a row per nation and year
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def pricing_summary(spark, d):
+    v = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(v), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"))
