@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,20 +34,28 @@ BLOCK_TERMS = 250_000
 _MARKUP = re.compile(r"<[^<>]{0,80}>|\\[nrt]")
 _END = re.compile(r"(?<![0-9])[.!?]+|[.!?]+(?![0-9])|[。！？\n\r]+")
 _KEEP = re.compile(r"[^\w\s'-]|[\d_]")
-_RUNS = re.compile(r"[^\W\d_ᄀ-ᇿ⺀-힯豈-﫿]+(?:-[^\W\d_ᄀ-ᇿ⺀-힯豈-﫿]+)*|[가-힯]+|[⺀-꓏豈-﫿]+")
+_RUNS = re.compile(r"[^\W\d_ᄀ-ᇿ⺀-힯豈-\ufaff]+(?:-[^\W\d_ᄀ-ᇿ⺀-힯豈-\ufaff]+)*|[가-힯]+|[⺀-꓏豈-\ufaff]+")
+_HANGUL, _HAN, _LATIN = re.compile("[가-힯]"), re.compile("[⺀-꓏\uf900-\ufaff]"), re.compile("[a-zß-ɏ]")
 
 
 def _script(term: str) -> str:
     c = term[0]
-    return "h" if "가" <= c <= "힯" else "z" if "⺀" <= c <= "꓏" or "豈" <= c <= "﫿" else "l"
+    return "h" if "가" <= c <= "힯" else "z" if "⺀" <= c <= "꓏" or "豈" <= c <= "\ufaff" else "l"
+
+
+def _clean(text: str) -> str:
+    return unicodedata.normalize("NFKC", html.unescape(_MARKUP.sub("", text))).casefold()
 
 
 def sentence_terms(text: str) -> list[set[str]]:
     """The terms of every sentence: words and word pairs where words are spaced, runs of 3 and 4 Hangul syllables and of
     2 to 4 Han characters otherwise. Markup, digits and symbols are no part of a term and split none."""
-    text = unicodedata.normalize("NFKC", html.unescape(_MARKUP.sub("", text))).casefold()
+    return _terms_of(_clean(text))
+
+
+def _terms_of(clean: str) -> list[set[str]]:
     out = []
-    for sentence in _END.split(text):
+    for sentence in _END.split(clean):
         terms: set[str] = set()
         before, syllables = None, []
         for w in _RUNS.findall(_KEEP.sub("", sentence)):
@@ -62,10 +71,10 @@ def sentence_terms(text: str) -> list[set[str]]:
                 syllables.append(w)
             else:
                 for n in (2, 3, 4):
-                    terms.update(w[i : i + n] for i in range(len(w) - n + 1))
+                    terms.update([w[i : i + n] for i in range(len(w) - n + 1)])
         run = "".join(syllables)
         for n in (3, 4):
-            terms.update(run[i : i + n] for i in range(len(run) - n + 1))
+            terms.update([run[i : i + n] for i in range(len(run) - n + 1)])
         if terms:
             out.append(terms)
     return out
@@ -73,12 +82,16 @@ def sentence_terms(text: str) -> list[set[str]]:
 
 def _area_of(terms: set[str], phrases: dict[str, tuple[int, float]]) -> tuple[int, str | None]:
     """(area, phrase) of a sentence by its best verified phrase; (-1, None) if it has none. Ties: the greater phrase."""
-    best, which = (-1, -1.0), None
-    for t in terms:
-        p = phrases.get(t)
-        if p is not None and (p[1] > best[1] or p[1] == best[1] and t > which):
-            best, which = p, t
-    return best[0], which
+    hits = phrases.keys() & terms
+    if not hits:
+        return -1, None
+    which = max(hits, key=lambda t: (phrases[t][1], t))
+    return phrases[which][0], which
+
+
+def _main_script(text: str) -> str:
+    """The script that makes up most of a text; three Latin letters weigh as one syllable."""
+    return max((len(_HANGUL.findall(text)), "h"), (len(_HAN.findall(text)), "z"), (len(_LATIN.findall(text)) // 3, "l"))[1]
 
 
 class _Counts:
@@ -86,66 +99,42 @@ class _Counts:
     and as context: sentences with an area, those whose area the rest of the document supports."""
 
     def __init__(self, n_areas: int):
-        self.width = n_areas + 4
-        self.rows: dict[str, list[int]] = {}
-
-    def row(self, term: str) -> list[int]:
-        r = self.rows.get(term)
-        if r is None:
-            r = self.rows[term] = [0] * self.width
-        return r
-
-    def add(self, sentences: list[set[str]], phrases: dict, passing: set[str], labels: tuple[int, ...] | None) -> None:
-        """labels: of a seed, else None."""
-        total: dict[int, int] = {}
-        inside: dict[tuple[str, int], int] = {}
-        every: set[str] = set()
-        open_sentences: set[str] = set()
-        areas = []
-        for s in sentences:
-            every |= s
-            a = _area_of(s, phrases)[0] if phrases else -1
-            areas.append(a)
-            if passing and not passing.isdisjoint(s):
-                continue
-            open_sentences |= s
-            if a >= 0 and labels is None:
-                total[a] = total.get(a, 0) + 1
-                for t in s:
-                    inside[t, a] = inside.get((t, a), 0) + 1
-        if not every:
+        self.columns: list[Counter] = [Counter() for _ in range(n_areas + 4)]
+
+    def add(self, text: str, phrases: dict, passing: set[str], labels: tuple[int, ...] | None) -> None:
+        """labels: of a seed, else None. A term is supported if not all sentences of the area hold it."""
+        clean = _clean(text)
+        sentences = _terms_of(clean)
+        if not sentences:
             return
-        own = labels if labels is not None else tuple(total)
-        known = labels is not None or bool(total)
-        scripts = [0, 0, 0]
-        for t in every:
-            scripts["lhz".index(_script(t))] += 1
-            r = self.row(t)
-            r[0] += 1
-            if known and t in open_sentences:
-                r[1] += 1
-                for a in own:
-                    if labels is not None or inside.get((t, a), 0) < total[a]:
-                        r[4 + a] += 1
-        head = self.row("\x00" + "lhz"[scripts.index(max(scripts))])
-        head[0] += 1
-        if known:
-            head[1] += 1
-            for a in own:
-                head[4 + a] += 1
-        if phrases:
-            seen = [0] * (self.width - 4)
-            for a in areas:
-                if a >= 0:
-                    seen[a] += 1
+        every: set[str] = set().union(*sentences)
+        heard = [s for s in sentences if passing.isdisjoint(s)] if passing else sentences
+        areas = [_area_of(s, phrases)[0] for s in sentences] if phrases else []
+        spoken: dict[int, set[str]] = {}  # area -> terms that all its sentences hold
+        if labels is None:
             for s, a in zip(sentences, areas):
-                if a >= 0:
-                    right = a in labels if labels is not None else seen[a] > 1
-                    for t in s:
-                        if t not in phrases:
-                            r = self.row(t)
-                            r[2] += 1
-                            r[3] += right
+                if a >= 0 and passing.isdisjoint(s):
+                    spoken[a] = spoken[a] & s if a in spoken else set(s)
+        else:
+            spoken = {a: set() for a in labels}
+        df, known, context, right = self.columns[:4]
+        df.update(every)
+        head = "\x00" + _main_script(clean)
+        df[head] += 1
+        if labels is not None or spoken:
+            terms = set().union(*heard)
+            known.update(terms)
+            known[head] += 1
+            for a, all_hold in spoken.items():
+                self.columns[4 + a].update(terms - all_hold)
+                self.columns[4 + a][head] += 1
+        seen = Counter(areas)
+        for s, a in zip(sentences, areas):
+            if a >= 0:
+                own = s.difference(phrases)
+                context.update(own)
+                if a in labels if labels is not None else seen[a] > 1:
+                    right.update(own)
 
 
 def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]], phrases: dict, passing: set[str]) -> DataFrame:
@@ -156,18 +145,19 @@ def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]
         counts = _Counts(n_areas)
 
         def flush() -> pa.RecordBatch:
-            rows = counts.rows
-            out = pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *(pa.array([r[k] for r in rows.values()], pa.int64()) for k in range(width))], names=["term", *(f"c{k}" for k in range(width))])
-            rows.clear()
+            terms = list(counts.columns[0])
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts.columns)], names=["term", *(f"c{k}" for k in range(width))])
+            for c in counts.columns:
+                c.clear()
             return out
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    counts.add(sentence_terms(text), phrases, passing, seeds.get(i))
-            if len(counts.rows) > BLOCK_TERMS:
+                    counts.add(text, phrases, passing, seeds.get(i))
+            if len(counts.columns[0]) > BLOCK_TERMS:
                 yield flush()
-        if counts.rows:
+        if counts.columns[0]:
             yield flush()
 
     rows = docs.mapInArrow(run, "term string, " + ", ".join(f"c{k} bigint" for k in range(width)))
@@ -186,7 +176,7 @@ def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst
     heads = {r["term"][1]: [r[f"c{k}"] for k in range(n_areas + 4)] for r in counted.where(F.col("term").startswith("\x00")).collect()}  # three rows
     spark = counted.sparkSession
     head = spark.createDataFrame([(s, float(h[0]), [v / max(1, h[1]) for v in h[4:]]) for s, h in sorted(heads.items())] or [("l", 0.0, [0.0] * n_areas)], "script string, docs double, prior array<double>")
-    script = F.when(F.col("term").rlike("^[가-힯]"), "h").when(F.col("term").rlike("^[⺀-꓏豈-﫿]"), "z").otherwise("l")
+    script = F.when(F.col("term").rlike("^[가-힯]"), "h").when(F.col("term").rlike("^[⺀-꓏豈-\ufaff]"), "z").otherwise("l")
     k = F.array(*(F.col(f"c{4 + a}") for a in range(n_areas)))
     terms = counted.where(~F.col("term").startswith("\x00")).select("term", script.alias("script"), F.col("c0").alias("df"), F.col("c1").alias("n"), F.array_max(k).alias("top"), F.array_position(k, F.array_max(k)).alias("at"), F.element_at(F.sort_array(k), -2).alias("second") if n_areas > 1 else F.lit(0).alias("second"), F.col("c2").alias("cn"), F.col("c3").alias("ck"))
     terms = terms.join(F.broadcast(head), "script")
