@@ -31,6 +31,11 @@ MAX_SEEDS = 100_000
 MAX_PHRASES = 400_000
 #: Terms that a block may count before it hands its counts on.
 BLOCK_TERMS = 250_000
+#: Sentences a worker remembers, and their length at most; a memo, the result does not depend on it.
+MEMO, MEMO_LETTERS = 20_000, 400
+#: Terms in more than this share of the labelled documents of a script are no candidates for phrases or contexts, which
+#: must be in at most a tenth of all documents; they are left out of the counts of the whole corpus.
+COMMON = 0.25
 _MARKUP = re.compile(r"<[^<>]{0,80}>|\\[nrt]")
 _END = re.compile(r"(?<![0-9])[.!?]+|[.!?]+(?![0-9])|[。！？\n\r]+")
 _KEEP = re.compile(r"[^\w\s'-]|[\d_]")
@@ -50,34 +55,57 @@ def _clean(text: str) -> str:
 def sentence_terms(text: str) -> list[set[str]]:
     """The terms of every sentence: words and word pairs where words are spaced, runs of 3 and 4 Hangul syllables and of
     2 to 4 Han characters otherwise. Markup, digits and symbols are no part of a term and split none."""
-    return _terms_of(_clean(text))
-
-
-def _terms_of(clean: str) -> list[set[str]]:
-    out = []
-    for sentence in _END.split(clean):
-        terms: set[str] = set()
-        before, syllables = None, []
-        for w in _RUNS.findall(_KEEP.sub("", sentence)):
-            kind = _script(w)
-            if kind == "l":
-                terms.add(w)
-                if before:
-                    terms.add(before + " " + w)
-                before = w
-                continue
-            before = None
-            if kind == "h":
-                syllables.append(w)
-            else:
-                for n in (2, 3, 4):
-                    terms.update([w[i : i + n] for i in range(len(w) - n + 1)])
-        run = "".join(syllables)
-        for n in (3, 4):
-            terms.update([run[i : i + n] for i in range(len(run) - n + 1)])
-        if terms:
-            out.append(terms)
-    return out
+    return [t for s in _END.split(_clean(text)) if (t := _terms_of(_KEEP.sub("", s)))]
+
+
+def _terms_of(sentence: str) -> set[str]:
+    terms: set[str] = set()
+    before, syllables = None, []
+    for w in _RUNS.findall(sentence):
+        kind = _script(w)
+        if kind == "l":
+            terms.add(w)
+            if before:
+                terms.add(before + " " + w)
+            before = w
+            continue
+        before = None
+        if kind == "h":
+            syllables.append(w)
+        else:
+            for n in (2, 3, 4):
+                terms.update([w[i : i + n] for i in range(len(w) - n + 1)])
+    run = "".join(syllables)
+    for n in (3, 4):
+        terms.update([run[i : i + n] for i in range(len(run) - n + 1)])
+    return terms
+
+
+class _Reader:
+    """Sentences of a text as (terms, area, phrase, whether it is a passing mention), remembered by their letters:
+    sentences that differ in digits, symbols and markup only, and those that recur, are analysed once per memo."""
+
+    def __init__(self, phrases: dict[str, tuple[int, float]], passing: set[str], common: frozenset[str] = frozenset()):
+        self.phrases, self.passing, self.common = phrases, passing, common
+        self.memo: dict[str, tuple] = {}
+
+    def read(self, clean: str) -> list[tuple]:
+        out = []
+        for sentence in _END.split(clean):
+            letters = _KEEP.sub("", sentence)
+            known = self.memo.get(letters)
+            if known is None:
+                terms = _terms_of(letters)
+                area, phrase = _area_of(terms, self.phrases) if self.phrases else (-1, None)
+                aside = not self.passing.isdisjoint(terms)
+                known = (terms - self.common if self.common else terms, area, phrase, aside)
+                if len(letters) <= MEMO_LETTERS:
+                    if len(self.memo) >= MEMO:
+                        self.memo.clear()
+                    self.memo[letters] = known
+            if known[0] or known[1] >= 0:
+                out.append(known)
+        return out
 
 
 def _area_of(terms: set[str], phrases: dict[str, tuple[int, float]]) -> tuple[int, str | None]:
@@ -101,48 +129,45 @@ class _Counts:
     def __init__(self, n_areas: int):
         self.columns: list[Counter] = [Counter() for _ in range(n_areas + 4)]
 
-    def add(self, text: str, phrases: dict, passing: set[str], labels: tuple[int, ...] | None) -> None:
+    def add(self, text: str, reader: _Reader, labels: tuple[int, ...] | None) -> None:
         """labels: of a seed, else None. A term is supported if not all sentences of the area hold it."""
         clean = _clean(text)
-        sentences = _terms_of(clean)
-        if not sentences:
+        if not _RUNS.search(clean):
             return
-        every: set[str] = set().union(*sentences)
-        heard = [s for s in sentences if passing.isdisjoint(s)] if passing else sentences
-        areas = [_area_of(s, phrases)[0] for s in sentences] if phrases else []
+        sentences = reader.read(clean)
         spoken: dict[int, set[str]] = {}  # area -> terms that all its sentences hold
         if labels is None:
-            for s, a in zip(sentences, areas):
-                if a >= 0 and passing.isdisjoint(s):
-                    spoken[a] = spoken[a] & s if a in spoken else set(s)
+            for s, a, _, aside in sentences:
+                if a >= 0 and not aside:
+                    spoken[a] = spoken[a] & s if a in spoken else s
         else:
             spoken = {a: set() for a in labels}
         df, known, context, right = self.columns[:4]
-        df.update(every)
+        df.update(set().union(*(s for s, *_ in sentences)))
         head = "\x00" + _main_script(clean)
         df[head] += 1
         if labels is not None or spoken:
-            terms = set().union(*heard)
+            terms = set().union(*(s for s, _, _, aside in sentences if not aside))
             known.update(terms)
             known[head] += 1
             for a, all_hold in spoken.items():
                 self.columns[4 + a].update(terms - all_hold)
                 self.columns[4 + a][head] += 1
-        seen = Counter(areas)
-        for s, a in zip(sentences, areas):
+        seen = Counter(a for _, a, _, _ in sentences)
+        for s, a, _, _ in sentences:
             if a >= 0:
-                own = s.difference(phrases)
+                own = s.difference(reader.phrases)
                 context.update(own)
                 if a in labels if labels is not None else seen[a] > 1:
                     right.update(own)
 
 
-def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]], phrases: dict, passing: set[str]) -> DataFrame:
-    """(term, c ARRAY<BIGINT>) summed over all documents (columns doc_id, text)."""
+def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]], phrases: dict, passing: set[str], common: frozenset[str] = frozenset()) -> DataFrame:
+    """(term, c0, c1, …) summed over all documents (columns doc_id, text), without the common terms."""
     width = n_areas + 4
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(n_areas)
+        counts, reader = _Counts(n_areas), _Reader(phrases, passing, common)
 
         def flush() -> pa.RecordBatch:
             terms = list(counts.columns[0])
@@ -154,7 +179,7 @@ def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    counts.add(text, phrases, passing, seeds.get(i))
+                    counts.add(text, reader, seeds.get(i))
             if len(counts.columns[0]) > BLOCK_TERMS:
                 yield flush()
         if counts.columns[0]:
@@ -192,18 +217,25 @@ def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst
     return phrases, {t for (t,) in bad if t not in phrases}
 
 
+def _common(counted: DataFrame, least: int = 40) -> set[str]:
+    """Terms in more than COMMON of the documents of their script, from at least `least` of them."""
+    heads = {r["term"][1]: r["c0"] for r in counted.where(F.col("term").startswith("\x00")).collect()}  # three rows
+    rows = counted.where(~F.col("term").startswith("\x00") & (F.col("c0") >= max(least, COMMON * min(heads.values(), default=0)))).select("term", "c0").limit(MAX_PHRASES).collect()
+    return {t for t, c in rows if c > COMMON * heads.get(_script(t), c)}
+
+
 def _links(docs: DataFrame, phrases: dict, passing: set[str]) -> DataFrame:
     """(doc_id, phrase, area): a row for every sentence that a verified phrase speaks for and that is no passing mention."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(phrases, passing)
         for batch in batches:
             rows, terms, areas = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                for s in sentence_terms(text):
-                    a, t = _area_of(s, phrases)
-                    if a >= 0 and passing.isdisjoint(s):
+                for _, a, t, aside in reader.read(_clean(text)):
+                    if a >= 0 and not aside:
                         rows.append(i)
                         terms.append(t)
                         areas.append(a)
@@ -251,9 +283,11 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
     if not fit:
         return spark.createDataFrame([], "doc_id bigint, area_code string")
     labelled = cut(docs.join(seeds.select("doc_id"), "doc_id", "left_semi"))
-    phrases, _ = _select(cut(_count_terms(labelled, n, fit, {}, set())), n, 0.5, 0.75, 0.5, max_df=0.5)
+    first = cut(_count_terms(labelled, n, fit, {}, set()))
+    phrases, _ = _select(first, n, 0.5, 0.75, 0.5, max_df=0.5)
     _, passing = _select(cut(_count_terms(labelled, n, fit, phrases, set())), n, 0.5, 0.75, 0.5, max_df=0.5)
-    phrases2, passing2 = _select(cut(_count_terms(docs, n, fit, phrases, passing)), n, 0.5, 0.65, 0.45)
+    common = _common(first) - passing - phrases.keys()
+    phrases2, passing2 = _select(cut(_count_terms(docs, n, fit, phrases, passing, frozenset(common))), n, 0.5, 0.65, 0.45)
     found = propagate(_links(docs, phrases2, passing2), seeds, n)
     named = found.select("doc_id", F.explode("areas").alias("a")).join(seeds.select("doc_id"), "doc_id", "left_anti")
     return named.select("doc_id", F.element_at(F.array(*map(F.lit, codes)), F.col("a") + 1).alias("area_code"))
