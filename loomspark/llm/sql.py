@@ -1,5 +1,7 @@
 """DuckDB SQL of the pN_ queries that SQL can express."""
 
+from loomspark.plans.catalog import FACT
+
 #: Latest decision per unordered pair, then reachability.
 _P2 = """
 WITH RECURSIVE pairs AS (
@@ -18,7 +20,34 @@ WITH RECURSIVE pairs AS (
 )
 """
 
+_FOLD = "nullif(regexp_replace(nfc_normalize({c}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')"
+_P1 = f"""
+WITH rows AS (
+  SELECT id, coder, coded_at, upper(left({_FOLD.format(c='include')}, 1)) AS include, {_FOLD.format(c='func')} AS func, {_FOLD.format(c='meth')} AS meth, {_FOLD.format(c='lang_group')} AS lang_group FROM codings WHERE id IS NOT NULL AND coder IS NOT NULL
+), last AS (
+  SELECT id, coder, arg_max(row(include, func, meth, lang_group), coded_at) AS r FROM rows WHERE coalesce(include, func, meth, lang_group) IS NOT NULL GROUP BY 1, 2
+), long AS (
+  SELECT 'include' AS axis, id, coder, r[1] AS label FROM last UNION ALL SELECT 'func', id, coder, r[2] FROM last UNION ALL SELECT 'meth', id, coder, r[3] FROM last UNION ALL SELECT 'lang_group', id, coder, r[4] FROM last
+), cells AS (
+  SELECT axis, id, label, count(*) AS c FROM long WHERE label IS NOT NULL GROUP BY 1, 2, 3
+), items AS (
+  SELECT axis, id, sum(c) AS n, sum(c * (c - 1)) AS same FROM cells GROUP BY 1, 2 HAVING sum(c) > 1
+), seen AS (
+  SELECT axis, count(*) AS items, sum(n) AS answers, sum(same / (n - 1)) AS agree FROM items GROUP BY 1
+), margins AS (
+  SELECT axis, label, sum(c) AS m FROM cells WHERE (axis, id) IN (SELECT (axis, id) FROM items) GROUP BY 1, 2
+), chance AS (
+  SELECT axis, sum(m * (m - 1)) AS mm FROM margins GROUP BY 1
+), f AS (
+  SELECT axis, items, answers::BIGINT AS answers, agree / answers AS observed, mm / (answers * (answers - 1)) AS expected FROM seen JOIN chance USING (axis)
+)
+SELECT axis, items, answers, round(observed, 6) AS observed, round(expected, 6) AS expected, round(CASE WHEN expected = 1 THEN 1 ELSE 1 - (1 - observed) / (1 - expected) END, 6) AS alpha FROM f
+"""
+
 SQL = {
+    "p1_agreement": _P1,
+    "p3_found": f"""WITH {FACT}, v AS (SELECT 'meth' AS field, meth AS category FROM fact UNION ALL SELECT 'reason', reason FROM fact UNION ALL SELECT 'lang_group', lang FROM fact), n AS (SELECT field, category, count(*) AS n FROM v WHERE category <> '' GROUP BY 1, 2)
+SELECT t.plan_id, t.category FROM sample_targets t LEFT JOIN n USING (field, category) WHERE greatest(CAST(t.target_share AS DECIMAL(20,10)) * t.sample_rows, t.min_rows) > coalesce(n.n, 0)""",
     "p2_found": _P2 + "SELECT group_id, mention_id FROM grouped",
     "p2_assignment": _P2 + "SELECT coalesce(g.group_id, m.mention_id) AS group_id, m.mention_id FROM (SELECT DISTINCT mention_id FROM author_mentions WHERE mention_id IS NOT NULL) m LEFT JOIN grouped g USING (mention_id)",
 }
