@@ -69,9 +69,9 @@ def doi_of(xml: Column) -> Column:
     return F.regexp_replace(element_text(block(block(xml, "articleInfo"), "doi")), r"(?i)^https?://(?:dx\.)?doi\.org/", "")
 
 
-def citations(xml: Column, fallback: Column) -> Column:
-    """Citation count: the attribute, else the element's text, else the fallback column."""
-    own = F.regexp_extract(xml, r'(?s)<citation-count[^>]*\skci="(\d+)"', 1)
+def citations(xml: Column, fallback: Column, index: str) -> Column:
+    """Citation count: the attribute named after the index, else the element's text, else the fallback column."""
+    own = F.regexp_extract(xml, rf'(?s)<citation-count[^>]*\s{index}="(\d+)"', 1)
     text = F.regexp_extract(xml, r"(?s)<citation-count[^>]*>\s*(\d+)\s*<", 1)
     return F.coalesce(blank_to_null(own).cast("int"), blank_to_null(text).cast("int"), fallback.cast("int"))
 

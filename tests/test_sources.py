@@ -36,6 +36,11 @@ def test_entity_variants(spark):
     assert tuple(r) == ('a "b" c', 'a &quot;b&quot;  c', "&#65;'&lt;")
 
 
+def test_citations_by_attribute_text_or_column(spark):
+    df = spark.createDataFrame([('<citation-count own="7">3</citation-count>', 1), ("<citation-count> 3 </citation-count>", 1), ("<x/>", 1)], "x string, n int")
+    assert [r[0] for r in df.select(markup.citations(F.col("x"), F.col("n"), "own")).collect()] == [7, 3, 1]
+
+
 def test_xlsx_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("가", 1, None), ("b<&>", 2, "x")], "`논문명` string, n int, note string")
     path = str(tmp_path / "b.xlsx")
