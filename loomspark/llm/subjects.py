@@ -196,16 +196,16 @@ def _wilson(k: Column, n: Column, z: float, upper: bool = False) -> Column:
     return (p + z2 / (2 * n) + (spread if upper else -spread)) / (1 + z2 / n)
 
 
-def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst_context: float, max_df: float = 0.1, min_df: int = 3, odds: float = 8.0, z: float = 1.96) -> tuple[dict[str, tuple[int, float]], set[str]]:
+def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst_context: float, min_df: int = 3, odds: float = 8.0, z: float = 1.96) -> tuple[dict[str, tuple[int, float]], set[str]]:
     """Verified phrases {term: (area, weight)} and passing contexts, from the counts of all documents."""
     heads = {r["term"][1]: [r[f"c{k}"] for k in range(n_areas + 4)] for r in counted.where(F.col("term").startswith("\x00")).collect()}  # three rows
     spark = counted.sparkSession
-    head = spark.createDataFrame([(s, float(h[0]), [v / max(1, h[1]) for v in h[4:]]) for s, h in sorted(heads.items())] or [("l", 0.0, [0.0] * n_areas)], "script string, docs double, prior array<double>")
+    head = spark.createDataFrame([(s, [v / max(1, h[1]) for v in h[4:]]) for s, h in sorted(heads.items())] or [("l", [0.0] * n_areas)], "script string, prior array<double>")
     script = F.when(F.col("term").rlike("^[가-힯]"), "h").when(F.col("term").rlike("^[⺀-꓏豈-\ufaff]"), "z").otherwise("l")
     k = F.array(*(F.col(f"c{4 + a}") for a in range(n_areas)))
     terms = counted.where(~F.col("term").startswith("\x00")).select("term", script.alias("script"), F.col("c0").alias("df"), F.col("c1").alias("n"), F.array_max(k).alias("top"), F.array_position(k, F.array_max(k)).alias("at"), F.element_at(F.sort_array(k), -2).alias("second") if n_areas > 1 else F.lit(0).alias("second"), F.col("c2").alias("cn"), F.col("c3").alias("ck"))
     terms = terms.join(F.broadcast(head), "script")
-    good = (F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.lit(float(min_df)), F.col("docs") * max_df)) & (F.col("top") > 0)
+    good = (F.col("df") >= min_df) & (F.col("top") > 0)
     share = F.col("top") / F.col("n")
     prior = F.element_at("prior", F.col("at").cast("int"))
     good = good & (_wilson(F.col("top"), F.col("n"), z) >= least) & (share >= purity) & (share * (1 - prior) >= odds * prior * (F.col("n") + 0.5 - F.col("top")) / F.col("n")) & (F.col("second") <= 0.6 * F.col("top"))
@@ -284,8 +284,8 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
         return spark.createDataFrame([], "doc_id bigint, area_code string")
     labelled = cut(docs.join(seeds.select("doc_id"), "doc_id", "left_semi"))
     first = cut(_count_terms(labelled, n, fit, {}, set()))
-    phrases, _ = _select(first, n, 0.5, 0.75, 0.5, max_df=0.5)
-    _, passing = _select(cut(_count_terms(labelled, n, fit, phrases, set())), n, 0.5, 0.75, 0.5, max_df=0.5)
+    phrases, _ = _select(first, n, 0.5, 0.75, 0.5)
+    _, passing = _select(cut(_count_terms(labelled, n, fit, phrases, set())), n, 0.5, 0.75, 0.5)
     common = _common(first) - passing - phrases.keys()
     phrases2, passing2 = _select(cut(_count_terms(docs, n, fit, phrases, passing, frozenset(common))), n, 0.5, 0.65, 0.45)
     found = propagate(_links(docs, phrases2, passing2), seeds, n)

@@ -66,3 +66,23 @@ def test_small_world(spark):
     rest = [i for i in range(120, 400)]
     right = sum(found.get(i, set()) == truth[i] for i in rest) / len(rest)
     assert right > 0.9 and not any(i >= 1000 for i in found)
+
+
+def _areas(spark, docs, labels):
+    found = {}
+    for r in s.subject_areas(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([("A",), ("B",)], "area_code string"), spark.createDataFrame(labels, "doc_id bigint, area_code string")).collect():
+        found.setdefault(r["doc_id"], set()).add(r["area_code"])
+    return found
+
+
+TOPICS = {"A": ["red apple", "green pear", "ripe plum"], "B": ["steel bridge", "stone tower", "brick wall"]}
+FRAMES = ["learners wrote about the {} today.", "we asked everyone to describe {} twice.", "nobody disliked {} in the end."]
+FILLER = ["the class met again on monday.", "some pupils kept a diary for weeks.", "teachers gave feedback after lunch."]
+
+
+def test_an_area_may_hold_a_third_of_the_documents(spark):
+    rng = random.Random(4)
+    own = [rng.choice(["A", "B", ""]) for _ in range(600)]
+    docs = [(i, " ".join([rng.choice(FRAMES).format(t) for t in TOPICS.get(a, [])] + rng.choices(FILLER, k=3))) for i, a in enumerate(own)]
+    found = _areas(spark, docs, [(i, a) for i, a in enumerate(own[:120]) if a])
+    assert sum(found.get(i, set()) == ({own[i]} if own[i] else set()) for i in range(120, 600)) / 480 > 0.95
