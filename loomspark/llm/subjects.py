@@ -33,9 +33,6 @@ MAX_PHRASES = 400_000
 BLOCK_TERMS = 250_000
 #: Sentences a worker remembers, and their length at most; a memo, the result does not depend on it.
 MEMO, MEMO_LETTERS = 20_000, 400
-#: Terms in more than this share of the labelled documents of a script are no candidates for phrases or contexts, which
-#: must be in at most a tenth of all documents; they are left out of the counts of the whole corpus.
-COMMON = 0.25
 _MARKUP = re.compile(r"<[^<>]{0,80}>|\\[nrt]")
 _END = re.compile(r"(?<![0-9])[.!?]+|[.!?]+(?![0-9])|[。！？\n\r]+")
 _KEEP = re.compile(r"[^\w\s'-]|[\d_]")
@@ -85,8 +82,8 @@ class _Reader:
     """Sentences of a text as (terms, area, phrase, whether it is a passing mention), remembered by their letters:
     sentences that differ in digits, symbols and markup only, and those that recur, are analysed once per memo."""
 
-    def __init__(self, phrases: dict[str, tuple[int, float]], passing: set[str], common: frozenset[str] = frozenset()):
-        self.phrases, self.passing, self.common = phrases, passing, common
+    def __init__(self, phrases: dict[str, tuple[int, float]], passing: set[str]):
+        self.phrases, self.passing = phrases, passing
         self.memo: dict[str, tuple] = {}
 
     def read(self, clean: str) -> list[tuple]:
@@ -98,12 +95,12 @@ class _Reader:
                 terms = _terms_of(letters)
                 area, phrase = _area_of(terms, self.phrases) if self.phrases else (-1, None)
                 aside = not self.passing.isdisjoint(terms)
-                known = (terms - self.common if self.common else terms, area, phrase, aside)
+                known = (terms, area, phrase, aside)
                 if len(letters) <= MEMO_LETTERS:
                     if len(self.memo) >= MEMO:
                         self.memo.clear()
                     self.memo[letters] = known
-            if known[0] or known[1] >= 0:
+            if known[0]:
                 out.append(known)
         return out
 
@@ -162,12 +159,12 @@ class _Counts:
                     right.update(own)
 
 
-def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]], phrases: dict, passing: set[str], common: frozenset[str] = frozenset()) -> DataFrame:
-    """(term, c0, c1, …) summed over all documents (columns doc_id, text), without the common terms."""
+def _count_terms(docs: DataFrame, n_areas: int, seeds: dict[int, tuple[int, ...]], phrases: dict, passing: set[str]) -> DataFrame:
+    """(term, c0, c1, …) summed over all documents (columns doc_id, text)."""
     width = n_areas + 4
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, reader = _Counts(n_areas), _Reader(phrases, passing, common)
+        counts, reader = _Counts(n_areas), _Reader(phrases, passing)
 
         def flush() -> pa.RecordBatch:
             terms = list(counts.columns[0])
@@ -217,13 +214,6 @@ def _select(counted: DataFrame, n_areas: int, least: float, purity: float, worst
     return phrases, {t for (t,) in bad if t not in phrases}
 
 
-def _common(counted: DataFrame, least: int = 40) -> set[str]:
-    """Terms in more than COMMON of the documents of their script, from at least `least` of them."""
-    heads = {r["term"][1]: r["c0"] for r in counted.where(F.col("term").startswith("\x00")).collect()}  # three rows
-    rows = counted.where(~F.col("term").startswith("\x00") & (F.col("c0") >= max(least, COMMON * min(heads.values(), default=0)))).select("term", "c0").limit(MAX_PHRASES).collect()
-    return {t for t, c in rows if c > COMMON * heads.get(_script(t), c)}
-
-
 def _links(docs: DataFrame, phrases: dict, passing: set[str]) -> DataFrame:
     """(doc_id, phrase, area): a row for every sentence that a verified phrase speaks for and that is no passing mention."""
 
@@ -283,11 +273,9 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
     if not fit:
         return spark.createDataFrame([], "doc_id bigint, area_code string")
     labelled = cut(docs.join(seeds.select("doc_id"), "doc_id", "left_semi"))
-    first = cut(_count_terms(labelled, n, fit, {}, set()))
-    phrases, _ = _select(first, n, 0.5, 0.75, 0.5)
+    phrases, _ = _select(cut(_count_terms(labelled, n, fit, {}, set())), n, 0.5, 0.75, 0.5)
     _, passing = _select(cut(_count_terms(labelled, n, fit, phrases, set())), n, 0.5, 0.75, 0.5)
-    common = _common(first) - passing - phrases.keys()
-    phrases2, passing2 = _select(cut(_count_terms(docs, n, fit, phrases, passing, frozenset(common))), n, 0.5, 0.65, 0.45)
+    phrases2, passing2 = _select(cut(_count_terms(docs, n, fit, phrases, passing)), n, 0.5, 0.65, 0.45)
     found = propagate(_links(docs, phrases2, passing2), seeds, n)
     named = found.select("doc_id", F.explode("areas").alias("a")).join(seeds.select("doc_id"), "doc_id", "left_anti")
     return named.select("doc_id", F.element_at(F.array(*map(F.lit, codes)), F.col("a") + 1).alias("area_code"))

@@ -86,3 +86,21 @@ def test_an_area_may_hold_a_third_of_the_documents(spark):
     docs = [(i, " ".join([rng.choice(FRAMES).format(t) for t in TOPICS.get(a, [])] + rng.choices(FILLER, k=3))) for i, a in enumerate(own)]
     found = _areas(spark, docs, [(i, a) for i, a in enumerate(own[:120]) if a])
     assert sum(found.get(i, set()) == ({own[i]} if own[i] else set()) for i in range(120, 600)) / 480 > 0.95
+
+
+def test_contexts_common_among_labelled_documents_are_learnt_from_the_corpus(spark):
+    rng = random.Random(5)
+    hedge = "unlike earlier work 의 {}."  # in a quarter of the labelled documents, there mostly of the main area
+
+    def text(area, aside=False):
+        lines = [rng.choice(FRAMES).format(t) for t in TOPICS.get(area, [])] + rng.choices(FILLER, k=3)
+        return " ".join(lines + [hedge.format(rng.choice(TOPICS["A"]))] * aside)
+
+    kinds = [("A", True)] * 40 + [("A", False)] * 40 + [("B", False)] * 70 + [("", True)] * 22 + [("", False)] * 68
+    docs = [(i, text(*k)) for i, k in enumerate(kinds)]
+    labels = [(i, a) for i, (a, _) in enumerate(kinds) if a]
+    labels += [(i, "B") for i, (a, _) in enumerate(kinds) if not a]  # labelled documents without A
+    docs += [(1000 + i, text("A")) for i in range(150)] + [(2000 + i, text("B")) for i in range(1500)] + [(4000 + i, text("", True)) for i in range(150)]
+    found = _areas(spark, docs, labels)
+    assert sum(found.get(1000 + i) == {"A"} for i in range(150)) > 140
+    assert sum("A" in found.get(4000 + i, set()) for i in range(150)) < 15
