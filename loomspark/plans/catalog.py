@@ -342,15 +342,33 @@ pair AS (SELECT a.id, a.r[1] AS ai, b.r[1] AS bi, a.r[2] AS af, b.r[2] AS bf, a.
 long AS (SELECT id, 'include' AS axis, ai AS a, bi AS b FROM pair UNION ALL SELECT id, 'func', af, bf FROM pair WHERE ai = 'Y' AND bi = 'Y' UNION ALL SELECT id, 'meth', am, bm FROM pair WHERE ai = 'Y' AND bi = 'Y')"""
 
 
-def _coder_pairs(spark, d):
-    c = table(spark, d, "codings").where(F.col("include").isNotNull() & F.col("id").isNotNull() & F.col("coder").isin("K00001", "K00002"))
+def _last_codings(spark, d):
+    c = table(spark, d, "codings").where(F.col("include").isNotNull() & F.col("id").isNotNull() & F.col("coder").isNotNull())
     c = c.select("id", "coder", "coded_at", F.upper(F.substring(X.trimmed(F.col("include")), 1, 1)).alias("include"), folded("func").alias("func"), folded("meth").alias("meth"))
-    last = c.groupBy("id", "coder").agg(F.max_by(F.struct("include", "func", "meth"), "coded_at").alias("r"))
-    of = lambda who, n: last.where(F.col("coder") == who).select("id", F.col("r").alias(n))
-    pair = of("K00001", "a").join(of("K00002", "b"), "id")
+    return c.groupBy("id", "coder").agg(F.max_by(F.struct("include", "func", "meth"), "coded_at").alias("r"))
+
+
+def _per_axis(pair: DataFrame, *keys: str) -> DataFrame:
+    """(keys, axis, a, b) of pairs of answers a and b; the axes other than include where both say Y."""
     both = (F.col("a.include") == "Y") & (F.col("b.include") == "Y")
     axis = lambda n, when: F.when(when, F.struct(F.lit(n).alias("axis"), F.col(f"a.{n}").alias("a"), F.col(f"b.{n}").alias("b")))
-    return pair.select("id", F.explode(F.array_compact(F.array(axis("include", F.lit(True)), axis("func", both), axis("meth", both)))).alias("x")).select("id", "x.*")
+    return pair.select(*keys, F.explode(F.array_compact(F.array(axis("include", F.lit(True)), axis("func", both), axis("meth", both)))).alias("x")).select(*keys, "x.*")
+
+
+def _coder_pairs(spark, d):
+    """Of the fixed pair of coders K00001 and K00002."""
+    last = _last_codings(spark, d).where(F.col("coder").isin("K00001", "K00002"))
+    of = lambda who, n: last.where(F.col("coder") == who).select("id", F.col("r").alias(n))
+    return _per_axis(of("K00001", "a").join(of("K00002", "b"), "id"), "id")
+
+
+def _all_coder_pairs(spark, d):
+    """Of every two coders of a paper, the lesser name first; a paper has few coders, so their answers are one array."""
+    papers = _last_codings(spark, d).groupBy("id").agg(F.collect_list(F.struct("coder", "r")).alias("all"))
+    one = papers.select("id", "all", F.explode("all").alias("x"))
+    two = one.select("id", "x", F.explode(F.filter("all", lambda y: y["coder"] > F.col("x.coder"))).alias("y"))
+    pair = two.select("id", F.col("x.coder").alias("coder_a"), F.col("y.coder").alias("coder_b"), F.col("x.r").alias("a"), F.col("y.r").alias("b"))
+    return _per_axis(pair, "id", "coder_a", "coder_b")
 
 
 @query(f"""WITH {_CODED}, l AS (SELECT * FROM long WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT axis, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po FROM l GROUP BY axis), x AS (SELECT axis, a AS v, count(*) AS x FROM l GROUP BY 1, 2), y AS (SELECT axis, b AS v, count(*) AS y FROM l GROUP BY 1, 2), e AS (SELECT axis, sum(x * y) AS xy FROM x JOIN y USING (axis, v) GROUP BY axis), k AS (SELECT n.axis, n, po, coalesce(xy, 0) / (n * n) AS pe FROM n LEFT JOIN e USING (axis)), f AS (SELECT axis, n, po, pe, CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END AS kappa FROM k)
@@ -384,6 +402,45 @@ def substitution_sensitivity(spark, d):
     return out.select("scenario", "meth", "k", "big_k", F.round(e, 6).alias("expected"), F.when(F.col("k") < e, "under").otherwise("over").alias("side"))
 
 
+_CODED_ALL = r"""last AS (SELECT id, coder, arg_max(row(upper(left(regexp_replace(include, '^[\s\p{Z}]+', ''), 1)), regexp_replace(nfc_normalize(func), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), regexp_replace(nfc_normalize(meth), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), coded_at) AS r FROM codings WHERE include IS NOT NULL AND id IS NOT NULL AND coder IS NOT NULL GROUP BY 1, 2),
+pair AS (SELECT a.id, a.coder AS coder_a, b.coder AS coder_b, a.r[1] AS ai, b.r[1] AS bi, a.r[2] AS af, b.r[2] AS bf, a.r[3] AS am, b.r[3] AS bm FROM last a JOIN last b ON a.id = b.id AND a.coder < b.coder),
+long AS (SELECT id, coder_a, coder_b, 'include' AS axis, ai AS a, bi AS b FROM pair UNION ALL SELECT id, coder_a, coder_b, 'func', af, bf FROM pair WHERE ai = 'Y' AND bi = 'Y' UNION ALL SELECT id, coder_a, coder_b, 'meth', am, bm FROM pair WHERE ai = 'Y' AND bi = 'Y')"""
+
+
+@query(f"""WITH {_CODED_ALL}, l AS (SELECT * FROM long WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT axis, coder_a, coder_b, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po FROM l GROUP BY ALL), x AS (SELECT axis, coder_a, coder_b, a AS v, count(*) AS x FROM l GROUP BY ALL), y AS (SELECT axis, coder_a, coder_b, b AS v, count(*) AS y FROM l GROUP BY ALL), e AS (SELECT axis, coder_a, coder_b, sum(x * y) AS xy FROM x JOIN y USING (axis, coder_a, coder_b, v) GROUP BY ALL), k AS (SELECT n.*, coalesce(xy, 0) / (n * n) AS pe FROM n LEFT JOIN e USING (axis, coder_a, coder_b))
+SELECT axis, coder_a, coder_b, n, round(po, 6) AS po, round(pe, 6) AS pe, round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM k""")
+def kappa_pairs(spark, d):
+    """Kappa of every two coders that share a paper."""
+    k = stats.kappa(_all_coder_pairs(spark, d), ["axis", "coder_a", "coder_b"], "a", "b")
+    return k.select("axis", "coder_a", "coder_b", "n", *(F.round(c, 6).alias(c) for c in ("po", "pe", "kappa")))
+
+
+@query(f"""WITH {_CODED_ALL} SELECT axis, id, coder_a, coder_b, a, b FROM long WHERE a <> b""")
+def pair_disagreements(spark, d):
+    return _all_coder_pairs(spark, d).where("a <> b").select("axis", "id", "coder_a", "coder_b", "a", "b")
+
+
+@query(f"""WITH {FACT}, {_CODED_ALL} SELECT coalesce(nullif(f.lang, ''), '(none)') AS lang, count(*) AS n, count(*) FILTER (WHERE a = b) AS same FROM long JOIN fact f ON f.arti_id = long.id WHERE axis = 'include' GROUP BY 1""")
+def pair_agreement_by_group(spark, d):
+    """Agreement on inclusion by language, over the pairs of all coders."""
+    p = _all_coder_pairs(spark, d).where("axis = 'include'").withColumnRenamed("id", "arti_id").join(fact(spark, d, "lang"), "arti_id")
+    return p.groupBy(F.coalesce(X.blank_to_null(F.col("lang")), F.lit("(none)")).alias("lang")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+
+
+@query(f"""WITH {FACT}, {_CODED_ALL}, s AS (SELECT coder_a, coder_b, 'first' AS scenario, a AS meth FROM long WHERE axis = 'meth' UNION ALL SELECT coder_a, coder_b, 'second', b FROM long WHERE axis = 'meth'), z AS (SELECT coder_a, coder_b, scenario, meth, count(*) AS k FROM s WHERE meth <> '' GROUP BY ALL), t AS (SELECT coder_a, coder_b, scenario, sum(k) AS n FROM z GROUP BY ALL), p AS (SELECT meth, count(*) AS big_k FROM fact WHERE include = 'Y' AND meth <> '' GROUP BY meth), q AS (SELECT sum(big_k) AS big_n FROM p)
+SELECT z.coder_a, z.coder_b, z.scenario, p.meth, z.k, p.big_k, round(t.n * p.big_k / q.big_n, 6) AS expected, CASE WHEN z.k < t.n * p.big_k / q.big_n THEN 'under' ELSE 'over' END AS side FROM z JOIN t USING (coder_a, coder_b, scenario) JOIN p ON p.meth = z.meth CROSS JOIN q""")
+def pair_substitution(spark, d):
+    """substitution_sensitivity of every two coders that share a paper."""
+    by = ["coder_a", "coder_b", "scenario"]
+    pairs = _all_coder_pairs(spark, d).where("axis = 'meth'")
+    both = pairs.select("coder_a", "coder_b", F.explode(F.array(F.struct(F.lit("first").alias("scenario"), F.col("a").alias("meth")), F.struct(F.lit("second").alias("scenario"), F.col("b").alias("meth")))).alias("s")).select("coder_a", "coder_b", "s.*").where("meth <> ''")
+    z = both.groupBy(*by, "meth").agg(F.count("*").alias("k"))
+    p = fact(spark, d, "include", "meth").where("include = 'Y' and meth <> ''").groupBy("meth").agg(F.count("*").alias("big_k"))
+    out = z.join(z.groupBy(*by).agg(F.sum("k").alias("n")), by).join(p, "meth").crossJoin(F.broadcast(p.agg(F.sum("big_k").alias("big_n"))))  # one row
+    e = F.col("n") * F.col("big_k") / F.col("big_n")
+    return out.select(*by, "meth", "k", "big_k", F.round(e, 6).alias("expected"), F.when(F.col("k") < e, "under").otherwise("over").alias("side"))
+
+
 @query(f"""WITH {FACT}, b AS (SELECT lang, pub_year, arti_id, kw_en FROM fact WHERE include = 'Y' AND lang IN ({_list(LANGS)}) AND pub_year IS NOT NULL), d AS (SELECT b.*, rep, row_number() OVER (PARTITION BY lang, rep ORDER BY md5(concat_ws('|', '20260930', rep, arti_id))) AS r FROM b CROSS JOIN (SELECT unnest(range(1, 51)) AS rep)), y AS (SELECT lang, rep, min(pub_year) FILTER (WHERE contains(lower(kw_en), 'chatgpt')) AS first_year FROM d WHERE r <= 30 GROUP BY 1, 2), a AS (SELECT lang, list_sort(list(first_year)) AS v, count(*) AS n, avg(first_year) AS m, stddev_pop(first_year) AS sd FROM y WHERE first_year IS NOT NULL GROUP BY lang)
 SELECT lang, n, round(m, 6) AS mean, round(sd, 6) AS sd, v[(n // 2) + 1] AS median, v[floor(n * 0.025)::INT + 1] AS lo, v[least(n - 1, floor(n * 0.975))::INT + 1] AS hi, v[floor(n * 0.05)::INT + 1] AS p05, v[greatest(0, floor(n * 0.95) - 1)::INT + 1] AS p95 FROM a""")
 def size_matched_first(spark, d):

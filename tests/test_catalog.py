@@ -20,3 +20,10 @@ def test_entry_lists_every_query(spark):
     assert set(catalog.QUERIES) | set(packed.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_pair_queries_cover_every_two_coders_of_a_paper(spark, data):
+    c = spark.read.parquet(f"{data}/codings.parquet").where("id is not null and coder is not null and include is not null and coded_at is not null").select("id", "coder").distinct()
+    want = {tuple(sorted((x["a"], x["b"]))) for x in c.withColumnRenamed("coder", "a").join(c.withColumnRenamed("coder", "b"), "id").where("a < b").select("a", "b").distinct().collect()}
+    got = {(r["coder_a"], r["coder_b"]) for r in catalog.QUERIES["kappa_pairs"](spark, data).where("axis = 'include'").collect()}
+    assert got == want and len(want) > 1
