@@ -237,23 +237,24 @@ def _links(docs: DataFrame, phrases: dict, passing: set[str]) -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, n_areas: int, max_rounds: int = 5, keep: float = 0.5, inertia: float = 2.0) -> DataFrame:
     """(doc_id, areas ARRAY<INT>) by label propagation over document-phrase links (doc_id, phrase, area).
 
-    A phrase takes the mean of its documents' labels, with its verified area as `inertia` documents; a document takes
-    every area that some of its phrases holds with at least `keep`. Seeds (doc_id, areas) are clamped. Stops when no
-    document changes. A phrase with a third of all documents is one row per task after partial aggregation.
+    Only seeds (doc_id, areas) have labels at first, and are clamped. A phrase that a labelled document holds takes the
+    mean of its labelled documents' labels, with its verified area as `inertia` documents; a document takes every area
+    that some of its phrases holds with at least `keep`. Documents that no label reaches have none. Stops when no document
+    changes. A phrase with a third of all documents is one row per task after partial aggregation.
     """
     edges = cut(links.groupBy("doc_id", "phrase").agg(F.min("area").alias("area")))
-    state = cut(edges.groupBy("doc_id").agg(F.sort_array(F.collect_set("area")).alias("areas")).join(seeds.withColumnRenamed("areas", "fixed"), "doc_id", "left").select("doc_id", F.coalesce("fixed", "areas").alias("areas"), F.col("fixed").isNotNull().alias("seed"), F.lit(True).alias("moved")))
+    state = cut(edges.select("doc_id").distinct().join(seeds, "doc_id", "left").select("doc_id", "areas", F.col("areas").isNotNull().alias("seed"), F.lit(True).alias("moved")))
     for _ in range(max_rounds):
-        held = edges.join(state.select("doc_id", "areas"), "doc_id")
+        held = edges.join(state.where("areas is not null").select("doc_id", "areas"), "doc_id")
         phrase = held.groupBy("phrase").agg(F.min("area").alias("own"), F.count("*").alias("n"), *(F.count_if(F.array_contains("areas", a)).alias(f"a{a}") for a in range(n_areas)))
         share = [(F.col(f"a{a}") + inertia * (F.col("own") == a).cast("int")) / (F.col("n") + inertia) for a in range(n_areas)]
         holds = phrase.select("phrase", F.array_compact(F.array(*(F.when(s >= keep, F.lit(a)) for a, s in enumerate(share)))).alias("holds"))
         fresh = edges.join(holds, "phrase").groupBy("doc_id").agg(*(F.max(F.array_contains("holds", a).cast("int")).alias(f"h{a}") for a in range(n_areas)))
         fresh = fresh.select("doc_id", F.array_compact(F.array(*(F.when(F.col(f"h{a}") == 1, F.lit(a)) for a in range(n_areas)))).alias("fresh"))
-        state = cut(state.join(fresh, "doc_id").select("doc_id", F.when(F.col("seed"), F.col("areas")).otherwise(F.col("fresh")).alias("areas"), "seed", (~F.col("seed") & (F.col("areas") != F.col("fresh"))).alias("moved")))
+        state = cut(state.join(fresh, "doc_id", "left").select("doc_id", F.when(F.col("seed"), F.col("areas")).otherwise(F.col("fresh")).alias("areas"), "seed", (~F.col("seed") & ~F.col("areas").eqNullSafe(F.col("fresh"))).alias("moved")))
         if not state.where("moved").limit(1).count():
             break
-    return state.select("doc_id", "areas")
+    return state.where("areas is not null").select("doc_id", "areas")
 
 
 def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
