@@ -234,13 +234,14 @@ def _links(docs: DataFrame, phrases: dict, passing: set[str]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, phrase string, area int")
 
 
-def propagate(links: DataFrame, seeds: DataFrame, n_areas: int, max_rounds: int = 5, keep: float = 0.5, inertia: float = 2.0) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, n_areas: int, max_rounds: int = 1000, keep: float = 0.5, inertia: float = 2.0) -> DataFrame:
     """(doc_id, areas ARRAY<INT>) by label propagation over document-phrase links (doc_id, phrase, area).
 
     Only seeds (doc_id, areas) have labels at first, and are clamped. A phrase that a labelled document holds takes the
     mean of its labelled documents' labels, with its verified area as `inertia` documents; a document takes every area
     that some of its phrases holds with at least `keep`. Documents that no label reaches have none. Stops when no document
-    changes. A phrase with a third of all documents is one row per task after partial aggregation.
+    changes; labels that still move after max_rounds are an error. A phrase with a third of all documents is one row per
+    task after partial aggregation.
     """
     edges = cut(links.groupBy("doc_id", "phrase").agg(F.min("area").alias("area")))
     state = cut(edges.select("doc_id").distinct().join(seeds, "doc_id", "left").select("doc_id", "areas", F.col("areas").isNotNull().alias("seed"), F.lit(True).alias("moved")))
@@ -254,6 +255,8 @@ def propagate(links: DataFrame, seeds: DataFrame, n_areas: int, max_rounds: int
         state = cut(state.join(fresh, "doc_id", "left").select("doc_id", F.when(F.col("seed"), F.col("areas")).otherwise(F.col("fresh")).alias("areas"), "seed", (~F.col("seed") & ~F.col("areas").eqNullSafe(F.col("fresh"))).alias("moved")))
         if not state.where("moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"labels still move after {max_rounds} rounds")
     return state.where("areas is not null").select("doc_id", "areas")
 
 
