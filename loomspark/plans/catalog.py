@@ -178,6 +178,14 @@ def upsert_provenance(spark, d):
     return merge.upsert(c.where("c_acctbal > 0").drop("c_acctbal"), new, "c_custkey")
 
 
+@query(f"""WITH {FACT}, {_LAST_VERDICT}, l AS (SELECT * FROM last WHERE id IS NOT NULL)
+SELECT coalesce(f.arti_id, l.id) AS arti_id, coalesce(nullif(f.include, ''), l.include) AS include, coalesce(nullif(f.confidence, ''), l.confidence) AS confidence, coalesce(nullif(f.boundary, ''), l.boundary) AS boundary, CASE WHEN l.id IS NULL THEN 'base' WHEN f.arti_id IS NULL THEN 'new' ELSE 'both' END AS src FROM fact f FULL JOIN l ON l.id = f.arti_id""")
+def upsert_verdicts(spark, d):
+    """All papers and all judged ids: what a paper leaves blank comes from its latest verdict."""
+    verdicts = _last_verdict(spark, d).where("id is not null").withColumnRenamed("id", "arti_id")
+    return merge.upsert(fact(spark, d, "include", "confidence", "boundary"), verdicts, "arti_id")
+
+
 @query("""SELECT 'with' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1995) UNION ALL SELECT 'without', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1995 AND o_custkey IS NOT NULL)""")
 def anti_semi(spark, d):
     c = table(spark, d, "customer").select("c_custkey")

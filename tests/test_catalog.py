@@ -27,3 +27,8 @@ def test_pair_queries_cover_every_two_coders_of_a_paper(spark, data):
     want = {tuple(sorted((x["a"], x["b"]))) for x in c.withColumnRenamed("coder", "a").join(c.withColumnRenamed("coder", "b"), "id").where("a < b").select("a", "b").distinct().collect()}
     got = {(r["coder_a"], r["coder_b"]) for r in catalog.QUERIES["kappa_pairs"](spark, data).where("axis = 'include'").collect()}
     assert got == want and len(want) > 1
+
+
+def test_upsert_reaches_every_key_of_both_tables(spark, data):
+    ids = {r[0] for t, k in (("papers", "arti_id"), ("verdicts", "id")) for r in spark.read.parquet(f"{data}/{t}.parquet").select(k).distinct().collect() if r[0] is not None}
+    assert {r["arti_id"] for r in catalog.QUERIES["upsert_verdicts"](spark, data).collect()} == ids
