@@ -104,17 +104,3 @@ def test_contexts_common_among_labelled_documents_are_learnt_from_the_corpus(spa
     found = _areas(spark, docs, labels)
     assert sum(found.get(1000 + i) == {"A"} for i in range(150)) > 140
     assert sum("A" in found.get(4000 + i, set()) for i in range(150)) < 15
-
-
-def test_labels_come_from_the_seeds_only(spark):
-    links = spark.createDataFrame([(1, "x", 0), (2, "x", 0), (4, "z", 0)], "doc_id bigint, phrase string, area int")
-    seeds = spark.createDataFrame([(1, [0])], "doc_id bigint, areas array<int>")
-    assert {r["doc_id"]: r["areas"] for r in s.propagate(links, seeds, 2).collect()} == {1: [0], 2: [0]}
-
-
-def test_labels_travel_along_long_chains_or_raise(spark):
-    links = spark.createDataFrame([(i + k, f"p{i}", 0) for i in range(9) for k in (0, 1)], "doc_id bigint, phrase string, area int")
-    seeds = spark.createDataFrame([(0, [0])], "doc_id bigint, areas array<int>")
-    assert {r["doc_id"]: r["areas"] for r in s.propagate(links, seeds, 2).collect()} == {i: [0] for i in range(10)}
-    with pytest.raises(RuntimeError):
-        s.propagate(links, seeds, 2, max_rounds=5)
