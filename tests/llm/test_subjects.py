@@ -104,3 +104,29 @@ def test_contexts_common_among_labelled_documents_are_learnt_from_the_corpus(spa
     found = _areas(spark, docs, labels)
     assert sum(found.get(1000 + i) == {"A"} for i in range(150)) > 140
     assert sum("A" in found.get(4000 + i, set()) for i in range(150)) < 15
+
+
+def test_labels_move_from_seeds_only(spark):
+    links = spark.createDataFrame([(i, f"p{i}") for i in range(6)] + [(i + 1, f"p{i}") for i in range(6)], "doc_id bigint, phrase string")  # a chain 0-1-…-6
+    seeds = spark.createDataFrame([(0, [1])], "doc_id bigint, areas array<int>")
+    assert [tuple(r) for r in s.propagate(links, seeds, 2, max_rounds=0).collect()] == [(0, [1])]
+    assert {r["doc_id"]: r["areas"] for r in s.propagate(links, seeds, 2).collect()} == {i: [1] for i in range(7)}
+    with pytest.raises(RuntimeError):
+        s.propagate(links, seeds, 2, max_rounds=3)
+    assert s.propagate(links, seeds.limit(0), 2).count() == 0
+
+
+def test_without_rounds_nothing_beyond_the_seeds(spark):
+    rng = random.Random(7)
+    own = [rng.choice("AB") for _ in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([rng.choice(FRAMES).format(t) for t in TOPICS[a]] + rng.choices(FILLER, k=3))) for i, a in enumerate(own)], "doc_id bigint, text string")
+    areas, labels = spark.createDataFrame([("A",), ("B",)], "area_code string"), spark.createDataFrame(list(enumerate(own[:60])), "doc_id bigint, area_code string")
+    assert s.subject_areas(docs, areas, labels, max_rounds=0).count() == 0
+    assert {r["doc_id"]: r["area_code"] for r in s.subject_areas(docs, areas, labels).collect()} == {i: own[i] for i in range(60, 200)}
+
+
+def test_too_many_areas_are_an_error(spark):
+    areas = spark.range(s.MAX_AREAS + 1).select(F.col("id").cast("string").alias("area_code"))
+    docs, labels = spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), spark.createDataFrame([(1, "1")], "doc_id bigint, area_code string")
+    with pytest.raises(ValueError):
+        s.subject_areas(docs, areas, labels)
