@@ -22,7 +22,8 @@ def p1_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d).reliability.select("axis", "coder", "answers", F.round("reliability", 6).alias("reliability"))
+    fitted = _consensus(spark, d)
+    return fitted.reliability.select("axis", "coder", "answers", F.round("reliability", 6).alias("reliability"), F.lit(fitted.converged).alias("converged"))
 
 
 def p1_agreement(spark: SparkSession, d: str) -> DataFrame:

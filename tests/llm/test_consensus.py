@@ -50,3 +50,28 @@ def test_empty_and_single(spark):
     assert r.decided().count() == 0 and s.contested(r).count() == 0 and s.agreement(s.latest_answers(empty)).count() == 0
     r = s.fit(s.latest_answers(codings(spark, [("p", "a", "Y", None, None, None, 1)])))
     assert [x["label"] for x in r.decided().collect()] == ["Y"] and s.contested(r).count() == 0
+
+
+def test_both_ways_agree_and_say_whether_they_settled(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        yes, kind = rng.choice("YN"), rng.choice(["쓰기", "말하기", "읽기"])
+        for c in rng.sample(["a", "b", "c", "d", "e"], 3):
+            sure = {"a": 0.95, "b": 0.9}.get(c, 0.6)
+            rows.append((f"p{i:03d}", c, yes if rng.random() < sure else rng.choice("YN"), kind if rng.random() < sure else "듣기", None, None, 1))
+    answers = s.latest_answers(codings(spark, rows))
+    narrow, joined = s.fit(answers), s.fit(answers, broadcast_numbers=0)
+    assert narrow.converged and joined.converged and not s.fit(answers, max_rounds=2).converged and not s.fit(answers, max_rounds=2, broadcast_numbers=0).converged
+    label = lambda r: {(x["axis"], x["item"]): (x["label"], x["contested"]) for x in r.decided().collect()}
+    one, two = label(narrow), label(joined)
+    assert one.keys() == two.keys() and sum(one[k] == two[k] for k in one) >= 0.98 * len(one)
+    rel = lambda r: {(x["axis"], x["coder"]): x["reliability"] for x in r.reliability.collect()}
+    one, two = rel(narrow), rel(joined)
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=0.02) for k in one)
+
+
+def test_too_many_labels_are_an_error(spark):
+    many = spark.range(12).selectExpr("'x' AS axis", "string(id) AS item", "'c' AS coder", "string(id) AS label")
+    with pytest.raises(ValueError):
+        s.fit(many, max_labels=10)
