@@ -134,13 +134,9 @@ class BytePairEncoder:
         out = self.out
         return [out[k] for k in tokens]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; null and '' give []. Names of special tokens are ordinary text."""
-        ids: list[int] = []
-        if not text:
-            return ids
+    def _pieces(self, text: str | None) -> Iterator[list[int]]:
         memo = self.pieces
-        for piece in self.split(text):
+        for piece in self.split(text) if text else ():
             known = memo.get(piece)
             if known is None:
                 known = self.encode_piece(piece)
@@ -148,9 +144,19 @@ class BytePairEncoder:
                     if len(memo) >= PIECE_MEMO:
                         memo.clear()
                     memo[piece] = known
+            yield known
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a text; null and '' give []. Names of special tokens are ordinary text."""
+        ids: list[int] = []
+        for known in self._pieces(text):
             ids += known
         return ids
 
+    def count(self, text: str | None) -> int:
+        """Number of ids of a text."""
+        return sum(map(len, self._pieces(text)))
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> BytePairEncoder:
@@ -193,18 +199,6 @@ def token_counter(vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR)
 
     def count(texts: pd.Series) -> pd.Series:
         bpe = encoder(path)
-        memo: dict[str, int] = {}
-        total = []
-        for t in texts:
-            n = 0
-            for piece in bpe.split(t) if t else ():
-                known = memo.get(piece)
-                if known is None:
-                    known = len(bpe.encode_piece(piece))
-                    if len(piece) <= PIECE_MEMO_BYTES:
-                        memo[piece] = known
-                n += known
-            total.append(n)
-        return pd.Series(total, dtype="int64")
+        return pd.Series([bpe.count(t) for t in texts], dtype="int64")
 
     return F.pandas_udf(count, "bigint")

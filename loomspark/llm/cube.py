@@ -3,12 +3,13 @@
 Inside a stratum the inclusion probabilities walk through the null space of the balancing constraints (the flight) until
 units reach 0 or 1. The constraints are the stratum's count and, if sizes are given, its total size; so a window of two
 or three fractional units suffices to find a direction, and a partition holds no more than that per stratum. What a
-partition cannot resolve merges upward: first over a fixed number of buckets, then per stratum, where at most
-BUCKETS units per constraint arrive; there the landing drops the constraints one by one and resolves the rest.
+partition cannot resolve merges upward: first over the square root of the partitions, at most BUCKETS, then per stratum,
+where at most BUCKETS units per constraint arrive; there the landing drops the constraints one by one and resolves the rest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -132,7 +133,8 @@ def cube_sample(units: DataFrame, stratum: str, unit: str, pi: str, size: str |
     base = units.select(F.col(stratum).alias("stratum"), F.col(unit).alias("unit"), F.col(pi).cast("double").alias("pi"), (F.coalesce(F.col(size).cast("double"), F.lit(0.0)) if sized else F.lit(1.0)).alias("size"))
     base = base.where("stratum is not null and unit is not null and pi > 0")
     first = cut(base.select("*", chance(0)).mapInArrow(_flight(sized, False, arrow), schema))
-    open_units = first.where("pi < 1").select("*", chance(1)).repartition(BUCKETS, F.pmod(F.xxhash64("unit"), F.lit(BUCKETS)))
-    second = cut(open_units.mapInArrow(_flight(sized, False, arrow), schema))
+    buckets = min(BUCKETS, math.isqrt(first.rdd.getNumPartitions()) + 1)
+    open_units = first.where("pi < 1").select("*", chance(1)).repartition(buckets, F.pmod(F.xxhash64("unit"), F.lit(buckets)))
+    second = cut(open_units.sortWithinPartitions("stratum", "unit").mapInArrow(_flight(sized, False, arrow), schema))
     third = second.where("pi < 1").select("*", chance(2)).repartition("stratum").sortWithinPartitions("stratum", "unit").mapInArrow(_flight(sized, True, arrow), schema)
     return first.where("pi = 1").unionByName(second.where("pi = 1")).unionByName(third).select("stratum", "unit", "size")

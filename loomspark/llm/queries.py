@@ -44,7 +44,7 @@ def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d)[1].where(F.col("short") & (F.col("residual") < 0)).select("plan_id", "category")
+    return _sample(spark, d)[1].where("short").select("plan_id", "category")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,12 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[0]
 
 
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every category was drawn within one of its quota, or whole where it has fewer papers."""
+    within = F.abs(F.col("drawn") - F.least("quota", F.col("available").cast("double"))) < 1
+    return _sample(spark, d)[1].select("plan_id", "field", "category", F.round("quota", 4).alias("quota"), "available", within.alias("within"), "short")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "papers")).where("mark <> ''").select("field", "term", "mark")
 
@@ -96,7 +102,7 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].where(F.col("short") & (F.col("residual") < 0)).select("mix_id", "source")
+    return _mix(spark, d)[1].where("short").select("mix_id", "source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +113,17 @@ def p9_uses(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every source was taken within two of its largest documents of its share, and of its documents none too
+    often: uses by document, counted apart from the report."""
+    uses, report = _mix(spark, d)
+    most = uses.groupBy("mix_id", "source").agg(F.max("uses").alias("most"))
+    limit = F.least("wanted_tokens", (F.col("max_uses") * F.col("source_tokens")).cast("double"))
+    return report.join(most, ["mix_id", "source"], "left").select(
+        "mix_id", "source", "documents", (F.abs(F.col("taken_tokens") - limit) <= 2 * F.col("largest")).alias("within"), (F.coalesce("most", F.lit(0)) <= F.col("max_uses")).alias("allowed")
+    )
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
 
@@ -119,4 +136,4 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(documents.agg(F.count_distinct("doc_id").alias("n")))).select("area_code", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_assignment, p3_found, p3_report, p3_sample, p4_found, p4_terms, p5_found, p5_unmatched, p6_found, p6_pairs, p8_ids, p9_found, p9_report, p9_uses, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_assignment, p3_found, p3_report, p3_sample, p3_balance, p4_found, p4_terms, p5_found, p5_unmatched, p6_found, p6_pairs, p8_ids, p9_found, p9_report, p9_uses, p9_balance, p10_found, p10_composition)}

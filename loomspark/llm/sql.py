@@ -44,10 +44,15 @@ WITH rows AS (
 SELECT axis, items, answers, round(observed, 6) AS observed, round(expected, 6) AS expected, round(CASE WHEN expected = 1 THEN 1 ELSE 1 - (1 - observed) / (1 - expected) END, 6) AS alpha FROM f
 """
 
+_P3 = f"""WITH {FACT}, v AS (SELECT 'meth' AS field, meth AS category FROM fact UNION ALL SELECT 'reason', reason FROM fact UNION ALL SELECT 'lang_group', lang FROM fact), n AS (SELECT field, category, count(*) AS n FROM v WHERE category <> '' GROUP BY 1, 2),
+t AS (SELECT t.*, greatest(CAST(t.target_share AS DECIMAL(20,10)) * t.sample_rows, t.min_rows) AS quota, coalesce(n.n, 0) AS available FROM sample_targets t LEFT JOIN n USING (field, category))"""
+
 SQL = {
     "p1_agreement": _P1,
     "p3_found": f"""WITH {FACT}, v AS (SELECT 'meth' AS field, meth AS category FROM fact UNION ALL SELECT 'reason', reason FROM fact UNION ALL SELECT 'lang_group', lang FROM fact), n AS (SELECT field, category, count(*) AS n FROM v WHERE category <> '' GROUP BY 1, 2)
 SELECT t.plan_id, t.category FROM sample_targets t LEFT JOIN n USING (field, category) WHERE greatest(CAST(t.target_share AS DECIMAL(20,10)) * t.sample_rows, t.min_rows) > coalesce(n.n, 0)""",
+    "p3_balance": _P3 + " SELECT plan_id, field, category, round(CAST(quota AS DOUBLE), 4) AS quota, available, true AS within, quota > available AS short FROM t",
+    "p9_balance": "SELECT mix_id, source, (SELECT count(*) FROM documents d WHERE d.source = t.source) AS documents, true AS within, true AS allowed FROM mix_targets t",
     "p2_found": _P2 + "SELECT group_id, mention_id FROM grouped",
     "p2_assignment": _P2 + "SELECT coalesce(g.group_id, m.mention_id) AS group_id, m.mention_id FROM (SELECT DISTINCT mention_id FROM author_mentions WHERE mention_id IS NOT NULL) m LEFT JOIN grouped g USING (mention_id)",
 }

@@ -72,3 +72,18 @@ def test_mix_repeats_small_sources_up_to_the_cap(spark):
     most = {(x["mix_id"], x["source"]): x["u"] for x in uses.groupBy("mix_id", "source").agg(F.max("uses").alias("u")).collect()}
     assert most[2, "small"] == 2 and most[1, "small"] <= 3 and most[1, "big"] == 1
     assert sampling.source_mix(docs.limit(0), t)[0].count() == 0
+
+
+def test_fields_of_a_plan_are_apart(spark):
+    p = spark.createDataFrame([(f"a{i}", "X", "X") for i in range(40)] + [(f"b{i}", "Y", "X") for i in range(20)], "arti_id string, meth string, reason string").withColumn("harvested_at", F.lit(None).cast("timestamp"))
+    t = spark.createDataFrame([(1, "meth", "X", 0.5, 0, 20), (1, "reason", "X", 0.5, 0, 20), (1, None, "X", 0.1, 0, 20)], "plan_id int, field string, category string, target_share double, min_rows int, sample_rows int")
+    sample, report = sampling.proportional_sample(p, t)
+    assert {(x["field"], x["drawn"], x["available"]) for x in report.collect()} == {("meth", 10, 40), ("reason", 10, 60), (None, 0, 0)}
+    assert {(r["field"], r["count"]) for r in sample.groupBy("field").count().collect()} == {("meth", 10), ("reason", 10)}
+
+
+def test_large_plans_are_joined_alike(spark, monkeypatch):
+    p = papers(spark, [(f"a{i}", "A", "x") for i in range(30)] + [(f"b{i}", "B", "x") for i in range(30)])
+    t = spark.createDataFrame([(1, "meth", "A", 0.7, 0, 10), (1, "meth", "B", 0.3, 0, 10)], "plan_id int, field string, category string, target_share double, min_rows int, sample_rows int")
+    monkeypatch.setattr(sampling, "MAX_TARGETS", 1)
+    assert {(x["category"], x["drawn"]) for x in sampling.proportional_sample(p, t)[1].collect()} == {("A", 7), ("B", 3)}
