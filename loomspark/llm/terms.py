@@ -15,14 +15,89 @@ from loomspark.functions.text import keyword_text
 from loomspark.llm.dictionary import number_rows
 from loomspark.session import cut
 
-#: Identifiers per range of count arrays; distinct terms a block may hold before it hands its counts on.
+#: Identifiers per range of count arrays; distinct terms a block may hold before it hands them on.
 RANGE, BLOCK_TERMS = 4096, 400_000
+#: Terms of a dictionary that every task may hold; beyond it a block counts by its own dictionary and is joined.
+MAX_DICTIONARY = 500_000
 
 
 def _normalise(entry: str) -> str:
     return keyword_text(unicodedata.normalize("NFKC", entry))
 
 
+def _terms(text: str | None, memo: dict[str, str]) -> list[str]:
+    """The normalised terms of a packed text, in order; those that normalise to '' are none."""
+    out = []
+    for entry, _ in parse_packed(text):
+        term = memo.get(entry)
+        if term is None:
+            if len(memo) >= BLOCK_TERMS:
+                memo.clear()
+            term = memo[entry] = _normalise(entry)
+        if term:
+            out.append(term)
+    return out
+
+
+def _distinct_terms(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, term), distinct: every block hands on its own terms once."""
+    names = list(fields)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        seen: list[set[str]] = [set() for _ in names]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, own in zip(names, seen):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.string())], names=["field", "term"])
+                own.clear()
+
+        for batch in batches:
+            for i, own in enumerate(seen):
+                for text in batch.column(i).to_pylist():
+                    if text:
+                        own.update(_terms(text, memo))
+            if sum(map(len, seen)) > BLOCK_TERMS:
+                yield from flush()
+        yield from flush()
+
+    return rows.select(*(F.col(f).cast("string") for f in names)).mapInArrow(run, "field string, term string").distinct()
+
+
+def _encoded_counts(records: DataFrame, fields: Sequence[str], dictionary: DataFrame, size: int) -> DataFrame:
+    """(range, offs, occ, rec): records encoded by the dictionary and counted blockwise, an array of occurrences and one
+    of records, cut into identifier ranges; a range without counts gives no row."""
+    names = list(fields)
+    rows = dictionary.select("field", "term", "id").toArrow()  # at most MAX_DICTIONARY rows
+    codes: dict[str, dict[str, int]] = {n: {} for n in names}
+    for f, t, i in zip(*(c.to_pylist() for c in rows.columns)):
+        codes[f][t] = i
+    shared = records.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        occ, rec = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for i, name in enumerate(names):
+                code = shared.value[name]
+                flat: list[int] = []
+                lengths = []
+                for text in batch.column(i).to_pylist():
+                    ids = [code[t] for t in _terms(text, memo)] if text else []
+                    flat += ids
+                    lengths.append(len(ids))
+                ids = np.array(flat, np.int64)
+                occ += np.bincount(ids, minlength=size)
+                present = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + ids) % size if size else ids
+                rec += np.bincount(present, minlength=size)
+        for r in range(-(-size // RANGE)):
+            at = np.flatnonzero(occ[r * RANGE : (r + 1) * RANGE])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([r]), *(pa.array([v]) for v in (at.astype(np.int32), occ[r * RANGE + at], rec[r * RANGE + at]))], names=["range", "offs", "occ", "rec"])
+
+    return records.select(*(F.col(f).cast("string") for f in names)).mapInArrow(run, "range bigint, offs array<int>, occ array<bigint>, rec array<bigint>")
+
+
 def _block_counts(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(field, term, occ, rec): counts of one block of records under its own dictionary; records are distinct rows."""
     names = list(fields)
@@ -49,15 +124,7 @@ def _block_counts(records: DataFrame, fields: Sequence[str]) -> DataFrame:
                 for text in batch.column(i).to_pylist():
                     if not text:
                         continue
-                    terms = []
-                    for entry, _ in parse_packed(text):
-                        term = memo.get(entry)
-                        if term is None:
-                            if len(memo) >= BLOCK_TERMS:
-                                memo.clear()
-                            term = memo[entry] = _normalise(entry)
-                        if term:
-                            terms.append(term)
+                    terms = _terms(text, memo)
                     for term in terms:
                         o[term] = o.get(term, 0) + 1
                     for term in set(terms):
@@ -118,20 +185,24 @@ def _sum_ranges(arrays: DataFrame) -> DataFrame:
     return arrays.repartition("range").sortWithinPartitions("range").mapInArrow(run, "id bigint, occ bigint, rec bigint")
 
 
-def term_frequencies(papers: DataFrame, fields: Sequence[str] = ("kw_ko", "kw_en"), rare_records: int = 2, common_percent: int = 5) -> DataFrame:
+def term_frequencies(papers: DataFrame, fields: Sequence[str] = ("kw_ko", "kw_en"), rare_records: int = 2, common_percent: int = 5, max_dictionary: int = MAX_DICTIONARY) -> DataFrame:
     """(field, term, occurrences, records, mark) of every distinct term of the packed fields.
 
     Terms are packed entries, NFKC and keyword-normalised; those that normalise to '' are none. A paper counts once.
     mark is 'rare' for terms in at most rare_records papers, 'common' for terms in more than common_percent % of all
     papers (with or without keywords), else ''; rare goes first. Null, empty and blank fields have no term; no papers,
-    no rows. A term that a third of all records hold is one row per block before any shuffle.
+    no rows. First the global dictionary of all rows, then records are encoded and counted in arrays per block, and the
+    arrays are summed by identifier range: a term that a third of all records hold is one number per block. A dictionary
+    of more than max_dictionary terms stays distributed: blocks count by their own dictionaries and are joined to it.
     """
     records = distinct_papers(papers, *fields)
-    blocks = cut(_block_counts(records, fields))
     everything = papers.agg(F.count_distinct("arti_id").alias("n_all"))
-    dictionary = cut(number_rows(blocks.select("field", "term").distinct()))
-    encoded = blocks.join(dictionary, ["field", "term"]).select("id", "occ", "rec")
-    counts = _sum_ranges(_range_arrays(encoded))
+    dictionary = cut(number_rows(_distinct_terms(papers.where("arti_id is not null"), fields)))
+    size = dictionary.count()
+    if size <= max_dictionary:
+        counts = _sum_ranges(_encoded_counts(records, fields, dictionary, size))
+    else:
+        counts = _sum_ranges(_range_arrays(_block_counts(records, fields).join(dictionary, ["field", "term"]).select("id", "occ", "rec")))
     out = dictionary.join(counts, "id").crossJoin(F.broadcast(everything))  # one row: the number of papers
     mark = F.when(F.col("rec") <= rare_records, "rare").when(F.col("rec") * 100 > F.col("n_all") * common_percent, "common").otherwise("")
     return out.select("field", "term", F.col("occ").alias("occurrences"), F.col("rec").alias("records"), mark.alias("mark"))
