@@ -18,7 +18,7 @@ from loomspark.session import cut
 
 #: Items of a basket held in one row; larger baskets are cut into tiles of this size, whose products run apart.
 TILE = 512
-#: Pairs that a record block expands before it folds them.
+#: Pairs that a record block expands before it folds them; a worker never holds more than twice as many.
 BLOCK_PAIRS = 2_000_000
 
 
@@ -78,14 +78,14 @@ def _gram(rows: DataFrame) -> DataFrame:
             behind.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids[code // m]), pa.array(ids[code % m]), pa.array(count.astype(np.int64))], names=["a", "b", "n"])
 
-        for batch in batches:
+        def products(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """The pairs of a batch, no more than BLOCK_PAIRS or those of one row at a time."""
             for_size: dict[int, list[np.ndarray]] = {}
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
             for x, y in zip(batch.column(0), batch.column(1)):
                 xs = x.values.to_numpy()
                 if y.is_valid:
                     ys = y.values.to_numpy()
-                    pairs.append((np.repeat(xs, len(ys)), np.tile(ys, len(xs))))
+                    yield np.repeat(xs, len(ys)), np.tile(ys, len(xs))
                 else:
                     for_size.setdefault(len(xs), []).append(xs)
             for k, own in for_size.items():
@@ -93,8 +93,10 @@ def _gram(rows: DataFrame) -> DataFrame:
                 step = max(1, BLOCK_PAIRS // max(1, len(i)))
                 for s in range(0, len(own), step):
                     grid = np.stack(own[s : s + step])
-                    pairs.append((grid[:, i].ravel(), grid[:, j].ravel()))
-            for a, b in pairs:
+                    yield grid[:, i].ravel(), grid[:, j].ravel()
+
+        for batch in batches:
+            for a, b in products(batch):
                 ahead.append(np.minimum(a, b))
                 behind.append(np.maximum(a, b))
                 held += len(a)
@@ -118,12 +120,15 @@ def cooccurrence(baskets: DataFrame, n_baskets: DataFrame, min_together: int = 5
     known = cut(baskets.where("basket is not null and item is not null").select("basket", "item", "size"))
     often = known.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_together)
     items = cut(number_rows(often))
-    coded = known.join(items.select("item", "id"), "item").select("basket", F.when(F.col("size") > 2 * TILE, F.pmod(F.xxhash64("item"), F.ceil(F.col("size") / TILE))).otherwise(F.lit(-1)).alias("tile"), "id")
-    tiles = cut(coded.groupBy("basket", "tile").agg(F.sort_array(F.collect_list("id")).alias("xs")))
+    tile_count = F.ceil(F.col("size") / TILE)
+    coded = known.join(items.select("item", "id"), "item").select("basket", "size", F.when(F.col("size") > 2 * TILE, F.pmod(F.xxhash64("item"), tile_count)).otherwise(F.lit(-1)).alias("tile"), "id")
+    tiles = cut(coded.groupBy("basket", "tile").agg(F.sort_array(F.collect_list("id")).alias("xs"), F.max(tile_count).alias("tiles")))
     own = tiles.select("xs", F.lit(None).cast("array<bigint>").alias("ys")).where(F.size("xs") > 1)
+    # every two tiles of a basket meet under a key of their own, so the products of one basket run in many tasks
     big = tiles.where("tile >= 0")
-    other = big.select("basket", F.col("tile").alias("t2"), F.col("xs").alias("ys"))
-    across = big.join(other, "basket").where("tile < t2").select("xs", "ys")
+    later = big.where("tile + 1 < tiles").select("basket", F.col("tile").alias("t1"), F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("t2"), "xs")
+    earlier = big.where("tile > 0").select("basket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tile") - 1)).alias("t1"), F.col("tile").alias("t2"), F.col("xs").alias("ys"))
+    across = later.join(earlier, ["basket", "t1", "t2"]).select("xs", "ys")
     pairs = _gram(own.unionByName(across)).where(F.col("n") >= min_together)
     left = items.select(F.col("id").alias("a"), F.col("item").alias("ia"), F.col("n").alias("na"))
     right = items.select(F.col("id").alias("b"), F.col("item").alias("ib"), F.col("n").alias("nb"))

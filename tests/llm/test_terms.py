@@ -68,3 +68,21 @@ def test_author_baskets(spark):
     assert ("p", "홍|서울대학교", len(got)) in got and not any(r[1].startswith("Kim") for r in got)
     empty = papers(spark, [])
     assert cooccur.cooccurrence(cooccur.author_baskets(empty), empty.agg(F.count("*").alias("n_all"))).count() == 0
+
+
+@pytest.mark.parametrize("block", [400_000, 7])
+def test_dictionaries_of_any_size_count_alike(spark, monkeypatch, block):
+    monkeypatch.setattr(terms, "BLOCK_TERMS", block)
+    monkeypatch.setattr(terms, "RANGE", 8)
+    rng = random.Random(6)
+    df = papers(spark, [(f"p{i}", "; ".join(f"t{rng.randrange(60)}" for _ in range(5)), "hot, hot, cold", None) for i in range(120)])
+    rows = lambda **k: {tuple(r) for r in terms.term_frequencies(df, **k).collect()}
+    assert rows() == rows(max_dictionary=0) and ("kw_en", "hot", 240, 120, "common") in rows()
+
+
+def test_one_basket_of_many_tiles_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "TILE", 16)
+    items = [f"i{k:04d}" for k in range(1000)]
+    df = spark.createDataFrame([(f"b{b}", i, 1000) for b in range(5) for i in items], "basket string, item string, size int")
+    got = cooccur.cooccurrence(df, spark.createDataFrame([(20,)], "n_all bigint"), 5, 3)
+    assert got.agg(F.count("*"), F.min("n_ab"), F.max("n_ab")).first()[:] == (1000 * 999 // 2, 5, 5)
