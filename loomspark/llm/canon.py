@@ -63,6 +63,18 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - before[-1] / max(len(a), len(b))
 
 
+def _parts(text: str) -> list[str]:
+    """A string cut where letters, digits and other scripts meet."""
+    return re.findall(r"[a-z]+|[0-9]+|[^a-z0-9]+", text)
+
+
+def _grams(sounds: str) -> set[tuple[str, str]]:
+    """Pairs of neighbouring sounds, the two borders included, with and without the silent initial. An edit breaks at
+    most three of n + 1 pairs, so strings that agree to 0.7 or more of n sounds share one."""
+    bare = sounds.replace(_SILENT, "")
+    return set(zip("^" + sounds, sounds + "$")) | set(zip("\x00" + bare, bare + "\x01"))
+
+
 class CanonMatcher:
     """Matcher of one axis: entries [(canonical value, [other names])] in order of preference."""
 
@@ -72,7 +84,8 @@ class CanonMatcher:
         self.threshold = threshold
         self.exact: dict[str, int] = {}
         self.values = [v for v, _ in entries]
-        self.names: list[tuple[str, str, list[str], int]] = []  # compact, letters, tokens, entry
+        self.names: list[tuple[str, str, list[str], set[str], int]] = []  # compact, letters, tokens, parts, entry
+        self.index: dict[object, list[int]] = {}  # pairs of sounds of names and tokens, tokens, parts -> names
         self.automaton = ahocorasick.Automaton()
         for k, (value, others) in enumerate(entries):
             for name in (value, *others):
@@ -80,36 +93,62 @@ class CanonMatcher:
                 compact = _compact(clean)
                 if compact and compact not in self.exact:
                     self.exact[compact] = k
-                    self.names.append((compact, _letters(compact), _WORD.findall(clean), k))
+                    tokens, parts, sounds = _WORD.findall(clean), set(_parts(compact)), _letters(compact)
+                    for key in {*_grams(sounds), *(g for t in tokens for g in _grams(_letters(t))), *tokens, *parts}:
+                        self.index.setdefault(key, []).append(len(self.names))
+                    self.names.append((compact, sounds, tokens, parts, k))
                     if len(compact) > 1:
                         self.automaton.add_word(compact, (len(compact), k))
         if len(self.automaton):
             self.automaton.make_automaton()
         self.memo: dict[str, int] = {}
 
-    def embedded(self, compact: str) -> int:
+    def embedded(self, clean: str) -> int:
         """The entry named inside the text: of non-overlapping mentions, longest first, the longest and then the
-        first; -1 if none."""
+        first; -1 if none. Spaces and marks are no part of a mention. A mention that begins with a Latin letter or digit
+        begins where a word or another script does, and one of less than four that ends so ends likewise."""
+        words = _WORD.findall(clean)
+        compact = "".join(words)
         if not len(self.automaton):
             return -1
-        found = sorted(((-n, end - n + 1, k) for end, (n, k) in self.automaton.iter(compact)))
-        return found[0][2] if found else -1
+        found = sorted((-n, end - n + 1, k) for end, (n, k) in self.automaton.iter(compact))
+        if not found:
+            return -1
+        borders, at = {0, len(compact)}, 0
+        for w in words:
+            for part in _parts(w):
+                at += len(part)
+                borders.add(at)
+        latin = lambda c: c.isascii()
+        for n, start, k in found:
+            end = start - n
+            if (start in borders or not latin(compact[start])) and (end in borders or -n > 3 or not latin(compact[end - 1])):
+                return k
+        return -1
 
     def similar(self, clean: str, compact: str) -> int:
         """The entry with the best token-set similarity of at least the threshold, else -1.
 
-        Tokens are the words of the value and runs of neighbouring words; each is held against whole names and against
-        the words of names. A word that begins or ends a name and makes up two fifths of it counts as a partial name.
+        Tokens are the words of the value and runs of neighbouring words; each is held against whole names, by sound, and
+        against the set of a name's tokens: a token of the name, a word that begins or ends it and makes up two fifths of
+        it, a token that sounds alike, or words that hold every part of the name are partial names. A token that is a
+        small part of the value counts a little less. Only names that share a token, a part or a pair of sounds with the
+        run are scored; others cannot reach the threshold.
         """
         words = _WORD.findall(clean)
         runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + 4) + 1)} | {compact}
+        have = {p for w in words for p in _parts(w)}
+        keys = {h[:n] for h in have for n in range(1, len(h) + 1)}
+        by_part = {k for key in keys for k in self.index.get(key, ())}
         best, score = -1, 0.0
         for run in sorted(runs):
             if len(run) < 2 or not _LETTER.search(run):
                 continue
             letters = _letters(run)
             cover = (len(run) / max(1, len(compact))) ** 0.05
-            for name, sounds, tokens, k in self.names:
+            candidates = by_part.union(self.index.get(run, ()), *(self.index.get(g, ()) for g in _grams(letters)))
+            for n in sorted(candidates):
+                name, sounds, tokens, parts, k = self.names[n]
                 s = 0.0
                 if abs(len(letters) - len(sounds)) <= 0.4 * max(len(letters), len(sounds)):
                     s = sound_similarity(letters, sounds)
@@ -119,7 +158,7 @@ class CanonMatcher:
                     s = max(s, 0.8 + 0.05 * name.startswith(run) + 0.1 * len(run) / len(name))
                 elif any(len(t) > 3 and len(letters) > 4 and sound_similarity(letters, _letters(t)) >= 0.8 for t in tokens if len(tokens) > 1):
                     s = max(s, 0.75)
-                elif len(name) >= 0.4 * len(run) and len(name) > 2 and len(tokens) == 1 and _token_set(words, name):
+                elif len(name) >= 0.4 * len(run) and len(name) > 2 and len(tokens) == 1 and _token_set(have, parts):
                     s = max(s, 0.74)
                 if s * cover > score:
                     best, score = k, s * cover
@@ -133,7 +172,7 @@ class CanonMatcher:
             compact = _compact(clean)
             known = self.exact.get(compact, -1) if compact else -1
             if compact and known < 0:
-                known = self.embedded(compact)
+                known = self.embedded(clean)
             if compact and known < 0:
                 known = self.similar(clean, compact)
             if len(self.memo) > 500_000:
@@ -142,14 +181,17 @@ class CanonMatcher:
         return known
 
 
-def _token_set(words: list[str], name: str) -> bool:
-    """Whether the words, cut where the script changes, hold every part of the name cut likewise."""
-    parts = lambda s: set(re.findall(r"[a-z]+|[0-9]+|[^a-z0-9]+", s))
-    own = parts(name)
-    have = set().union(*(parts(w) for w in words)) if words else set()
+def _token_set(have: set[str], own: set[str]) -> bool:
+    """Whether parts of words hold or begin with every part of a name, of which there are two or more."""
     return len(own) > 1 and all(any(h == p or len(p) > 1 and h.startswith(p) for h in have) for p in own)
 
 
+@lru_cache(maxsize=16)
+def matcher(entries: tuple, threshold: float) -> CanonMatcher:
+    """The matcher of a list, built once per Python worker."""
+    return CanonMatcher(entries, threshold)
+
+
 def canonical_entries(canon: DataFrame, axis: str = "axis", value: str = "canon_value", aliases: str = "aliases", order: str = "canon_id") -> dict[str, list[tuple[str, list[str]]]]:
     """The canonical list by axis, with the aliases split at semicolons. Its size is checked: it goes to every task."""
     rows = canon.select(axis, value, aliases).where(F.col(axis).isNotNull() & F.col(value).isNotNull()).orderBy(axis, order).limit(MAX_ENTRIES + 1).collect()
@@ -174,7 +216,7 @@ def map_values(df: DataFrame, key: str, axes: Sequence[str], canon: DataFrame, t
     names = list(axes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [CanonMatcher(entries.get(a, []), threshold) for a in names]
+        matchers = [matcher(tuple((v, tuple(n)) for v, n in entries.get(a, [])), threshold) for a in names]
         for batch in batches:
             rows, which, typed, meant = [], [], [], []
             for i, (name, m) in enumerate(zip(names, matchers)):
