@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.functions.expr import blank_to_null
+from loomspark.functions.expr import blank_to_null, first_match, script
 
 _BASIC = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
@@ -93,8 +95,9 @@ def search_records(xml: Column) -> Column:
     return F.filter(F.transform(elements(xml, "record"), paper), lambda p: p.arti_id.isNotNull())
 
 
-def detail_record(xml: Column) -> Column:
-    """STRUCT of an article's detail: keywords by language, authors, references, and whether it has a reference list."""
+def detail_record(xml: Column, full: bool = False) -> Column:
+    """STRUCT of an article's detail: keywords by language, authors, references, and whether it has a reference list.
+    full: references have their publisher, the code of their type and their link too."""
     group = F.coalesce(blank_to_null(block(xml, "keyword-group")), xml)
     words = F.array_distinct(F.filter(F.transform(elements(group, "keyword"), lambda k: element_text(F.regexp_replace(k, r"^<keyword[^>]*>|</keyword>$", ""))), lambda k: k != ""))
     korean = lambda k: k.rlike("[가-힣]")
@@ -107,12 +110,26 @@ def detail_record(xml: Column) -> Column:
         return F.struct(
             first_tag(r, "title").alias("title"), first_tag(r, "author").alias("author"), F.coalesce(blank_to_null(first_tag(r, "journal-name")), first_tag(r, "conference-name")).alias("journal"),
             blank_to_null(F.regexp_extract(year, r"(\d{4})", 1)).cast("int").alias("year"), attribute(head, "type-name").alias("type"), first_tag(r, "doi").alias("doi"), blank_to_null(attribute(head, "arti-id")).alias("arti_id"),
+            *([first_tag(r, "pubilisher").alias("publisher"), attribute(head, "type-code").alias("type_code"), first_tag(r, "url").alias("url")] if full else []),
         )
 
     references = F.transform(elements(block(xml, "referenceInfo"), "reference"), reference)
     return F.struct(F.filter(words, korean).alias("kw_ko"), F.filter(words, lambda k: ~korean(k)).alias("kw_en"), authors.alias("authors"), references.alias("references"), xml.contains("<referenceInfo").alias("ref_available"))
 
 
+def reference_profile(references: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
+    """STRUCT of counts over an array of references: refs, hangul, han and other by their script, with_journal, and
+    fields, a MAP from the class of the journal by ordered rules to its count. Counted inside the row; a null array has 0."""
+    read = F.transform(references, lambda r: F.struct(*(r[c].alias(c) for c in ("title", "author", "journal"))))
+    refs = F.coalesce(read, F.array().cast("array<struct<title:string,author:string,journal:string>>"))
+    number = lambda xs: F.size(xs).cast("bigint")
+    scripts = F.transform(refs, lambda r: script(F.concat_ws(" ", r["title"], r["journal"], r["author"])))
+    classes = F.filter(F.transform(refs, lambda r: F.when(F.trim(r["journal"]) == "", "").otherwise(first_match(r["journal"], rules, default))), lambda c: c != "")
+    of = lambda k: number(F.filter(scripts, lambda x: x == k)).alias(k)
+    fields = F.map_from_entries(F.transform(F.array(*(F.lit(n) for n, _ in rules), F.lit(default)), lambda n: F.struct(n.alias("key"), number(F.filter(classes, lambda c: c == n)).alias("value"))))
+    return F.struct(number(refs).alias("refs"), of("hangul"), of("han"), of("other"), number(classes).alias("with_journal"), fields.alias("fields"))
+
+
 def coverage(detail: Column) -> list[Column]:
     """Aggregates over detail records: how many have keywords, authors, affiliations and references, and how many."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.session import cut
+
 
 def top_with_ties(df: DataFrame, value: str, k: int) -> DataFrame:
     """Rows whose value reaches the k-th greatest, with their competition rank.
@@ -72,3 +74,40 @@ def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = x.withColumn("in_a", F.lit(1)).join(y.withColumn("in_b", F.lit(1)), key, "full_outer")
     out = both.agg(F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"))
     return out.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
+def number_within(df: DataFrame, by: str, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with the 0-based place of every row in its group, by the order columns.
+
+    Rows are range-partitioned, so a group with a third of all rows lies in many tasks; a task numbers its own rows, and
+    only the row counts per task and group are summed up. No window over a group.
+    """
+    split = 33  # monotonically_increasing_id puts the partition above this many bits
+    ranged = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    local = cut(ranged.withColumn("__mono", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__mono", split))
+    sizes = local.groupBy("__part", by).agg(F.count("*").alias("__n"), F.min("__mono").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")
+    starts = sizes.select("__part", F.col(by).alias("__by"), (before - F.col("__first")).alias("__shift"))  # one row per task and group in it
+    joined = local.join(F.broadcast(starts), (local["__part"] == starts["__part"]) & local[by].eqNullSafe(starts["__by"]))
+    return joined.select(*(local[c] for c in df.columns), (local["__mono"] + F.col("__shift")).alias(name))
+
+
+def exact_median(df: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:
+    """(by, median): the mean of the two middle values of each group, nulls left out; values are ranked by range, so that
+    no task holds all values of a group."""
+    ranked = number_within(df.where(F.col(value).isNotNull()).select(by, value), by, [value])
+    n = ranked.groupBy(by).agg(F.count("*").alias("__n"))
+    middle = ranked.join(n, by).where((F.col("rank") == F.floor((F.col("__n") - 1) / 2)) | (F.col("rank") == F.floor(F.col("__n") / 2)))
+    return middle.groupBy(by).agg(F.avg(value).alias(name))
+
+
+def collated(c: Column | str, collation: str = "UNICODE") -> Column:
+    """Sort key by a collation of ICU; UNICODE is the root collation."""
+    return F.collate(c, collation)
+
+
+def collated_places(df: DataFrame, column: str, name: str = "place", collation: str = "UNICODE") -> DataFrame:
+    """df of distinct words with the 1-based place of each by the collation, equal ones by code point. Words are
+    range-partitioned by the collation and numbered per task; no window over the table."""
+    keyed = df.withColumn("__all", F.lit(0)).withColumn("__key", collated(column, collation))
+    return number_within(keyed, "__all", ["__key", column], "__place").select(*df.columns, (F.col("__place") + 1).alias(name))

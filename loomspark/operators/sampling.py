@@ -8,6 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.ranking import number_within
+from loomspark.session import shuffle_tasks
+
+#: Units that one repetition of rank_draws may draw; it holds them in a row.
+MAX_DRAW = 2_000
+
 
 def draw_key(seed: int, rep: Column, unit: Column) -> Column:
     """The order of a unit in a repetition: md5 of 'seed|rep|unit', the same in every engine."""
@@ -25,6 +31,32 @@ def simple_draws(df: DataFrame, by: str, unit: str, n: int, reps: int, seed: int
     return each.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r", "__key")
 
 
+def rank_draws(df: DataFrame, by: str, unit: str, n: int, reps: int, seed: int) -> DataFrame:
+    """df's rows of `reps` simple random samples of n units per group, without replacement, with the column rep.
+
+    The rows of a group are numbered once, in the order of unit; a repetition draws n numbers by itself (for j from N-n+1
+    to N a random number up to j, or j if that is drawn already, which makes every subset equally likely) and fetches
+    these rows. So the work grows with the rows drawn and not with rows x repetitions. The random number of step j is 48
+    bits of the md5 of 'seed|group|rep|j' modulo j. A group of n or fewer is taken whole. Null groups are not drawn.
+    """
+    if n > MAX_DRAW:
+        raise ValueError(f"more than {MAX_DRAW} units a draw; use simple_draws")
+    ranked = number_within(df.where(F.col(by).isNotNull()), by, [unit], "__rank")
+    each = ranked.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__size")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    each = each.repartition(shuffle_tasks(df.sparkSession), "__by", "rep")  # few small rows but much work each: a number given here is kept
+
+    def step(drawn: Column, j: Column) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("__by").cast("string"), F.col("rep").cast("string"), j.cast("string"))
+        t = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") % j
+        return F.array_append(drawn, F.when(F.array_contains(drawn, t), j - 1).otherwise(t))
+
+    start = F.greatest(F.lit(1).cast("bigint"), F.col("__size") - n + 1)
+    drawn = F.aggregate(F.sequence(start, F.col("__size")), F.array().cast("array<bigint>"), step)
+    picks = each.select(F.col("__by").alias("__g"), "rep", F.explode(drawn).alias("__pick"))
+    rows = ranked.select(F.col(by).alias("__g"), F.col("__rank").alias("__pick"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"))
+    return picks.join(rows, ["__g", "__pick"]).select("__row.*", "rep")
+
+
 def seeded_indices(spark: SparkSession, population: int, n: int, reps: int, seed: int) -> DataFrame:
     """(rep, idx): indices of Mersenne Twister samples, `reps` calls of one stream; for replay of seeded runs."""
     rng = random.Random(seed)

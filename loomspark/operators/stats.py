@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Length of the log-factorial table: sizes of groups compared by exact tests, at most.
-MAX_FACTORIAL = 2_000_000
 STIRLING_FROM = 256
+#: Terms of a hypergeometric sum go this many standard deviations far, and at least FLOOR_TERMS; what lies beyond is
+#: less than a double can tell from 0.
+DEVIATIONS, FLOOR_TERMS = 40, 200
 
 
 def log_factorial(n: Column) -> Column:
@@ -28,19 +29,43 @@ def log_choose(n: Column, k: Column) -> Column:
 def hypergeometric_tails(df: DataFrame, big_k: str, big_n: str, n: str, k: str) -> DataFrame:
     """df with expected, p_le, p_ge and the tail on the side of the observation (ties go to the upper tail).
 
-    K of N are marked, n are drawn, k marked ones observed. p_le = P(X <= k), p_ge = P(X >= k). The terms of the lower
-    sum are exploded, so a test with many terms is spread over tasks and summed map-side.
+    K of N are marked, n are drawn, k marked ones observed. p_le = P(X <= k), p_ge = P(X >= k). A sum starts at the
+    observation and walks away from the mode, each term from the one before, so it is made inside the row: no rows are
+    added, none are joined, and the walk ends where terms vanish. The other tail is its complement.
     """
-    cols = [F.col(c).cast("bigint") for c in (big_k, big_n, n, k)]
-    base = df.withColumn("__id", F.monotonically_increasing_id()).select("*", *(c.alias(a) for c, a in zip(cols, ("__kk", "__nn", "__n", "__k"))))
-    base = base.withColumn("__all", log_choose(F.col("__nn"), F.col("__n")))
-    low, high = F.greatest(F.lit(0).cast("bigint"), F.col("__n") + F.col("__kk") - F.col("__nn")), F.least(F.col("__kk"), F.col("__n"))
-    terms = base.select("__id", "__kk", "__nn", "__n", "__k", "__all", F.explode(F.sequence(low, high)).alias("i"))
-    p = F.exp(log_choose(F.col("__kk"), F.col("i")) + log_choose(F.col("__nn") - F.col("__kk"), F.col("__n") - F.col("i")) - F.col("__all"))
-    sums = terms.withColumn("p", p).groupBy("__id").agg(F.sum(F.when(F.col("i") <= F.col("__k"), F.col("p")).otherwise(0.0)).alias("p_le"), F.sum(F.when(F.col("i") >= F.col("__k"), F.col("p")).otherwise(0.0)).alias("p_ge"))
-    out = base.join(sums, "__id").withColumn("expected", F.col("__n") * F.col("__kk") / F.col("__nn"))
+    names = [f"`{c}`" for c in (big_k, big_n, n, k)]
+    kk, nn, m, o = (F.expr(f"CAST({c} AS BIGINT)") for c in names)
+    low, high = F.greatest(F.lit(0).cast("bigint"), m + kk - nn), F.least(kk, m)
+    mean = m * kk / nn
+    spread = F.sqrt(mean * (1 - kk / nn) * (nn - m) / F.greatest(nn - 1, F.lit(1)))
+    reach = F.ceil(DEVIATIONS * spread) + FLOOR_TERMS
+    at = F.least(F.greatest(o, low), high)
+    base = df.withColumns({"__kk": kk, "__nn": nn, "__n": m, "__k": o, "__lo": low, "__hi": high, "__at": at, "__reach": reach, "expected": mean, "__left": o <= mean})
+    big, whole, drawn, left = F.col("__kk"), F.col("__nn"), F.col("__n"), F.col("__left")
+    base = base.withColumn("__p", F.exp(log_choose(big, F.col("__at")) + log_choose(whole - big, drawn - F.col("__at")) - log_choose(whole, drawn)))
+
+    def add(acc: Column, j: Column) -> Column:
+        i = F.when(left, F.col("__at") - j + 1).otherwise(F.col("__at") + j - 1)  # the place of the term before
+        down = i * (whole - big - drawn + i) / ((big - i + 1) * (drawn - i + 1))
+        up = (big - i) * (drawn - i) / ((i + 1) * (whole - big - drawn + i + 1))
+        term = acc["term"] * F.when(left, down).otherwise(up)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    steps = F.least(F.col("__reach"), F.when(left, F.col("__at") - F.col("__lo")).otherwise(F.col("__hi") - F.col("__at")))
+    places = F.when(steps > 0, F.sequence(F.lit(1).cast("bigint"), steps)).otherwise(F.array().cast("array<bigint>"))
+    base = base.withColumn("__tail", F.aggregate(places, F.struct(F.col("__p").alias("term"), F.col("__p").alias("sum")), add)["sum"])
+    other = 1 - (F.col("__tail") - F.col("__p"))
+    p_le = F.when(F.col("__k") < F.col("__lo"), 0.0).when(F.col("__k") >= F.col("__hi"), 1.0).when(left, F.col("__tail")).otherwise(other)
+    p_ge = F.when(F.col("__k") > F.col("__hi"), 0.0).when(F.col("__k") <= F.col("__lo"), 1.0).when(left, other).otherwise(F.col("__tail"))
+    out = base.withColumn("p_le", F.greatest(p_le, F.lit(0.0))).withColumn("p_ge", F.greatest(p_ge, F.lit(0.0)))
     out = out.withColumn("p_side", F.when(F.col("__k") < F.col("expected"), F.least(F.lit(1.0), F.col("p_le"))).otherwise(F.least(F.lit(1.0), F.col("p_ge"))))
-    return out.drop("__id", "__kk", "__nn", "__n", "__k", "__all")
+    return out.drop("__kk", "__nn", "__n", "__k", "__lo", "__hi", "__at", "__reach", "__left", "__p", "__tail")
+
+
+def lag_verdict(late: Sequence[Column]) -> Column:
+    """Of the comparison groups against which an observation is late (booleans; null is no): none, both (all) or one."""
+    hits = F.size(F.filter(F.array(*(F.coalesce(c, F.lit(False)) for c in late)), lambda x: x))
+    return F.when(hits == 0, "size effect").when(hits == len(late), "late against all").otherwise("late against one")
 
 
 def significance(p: Column, tests: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import expr as X
+from loomspark.functions.scope import portable
 from loomspark.functions.text import folded
 from loomspark.operators import crosstab, graph, merge, quality, ranking, sampling, stats
 from loomspark.session import table
@@ -23,10 +24,30 @@ METHS = ["실험연구", "조사연구", "질적·사례", "개발연구", "성
 LANGS = ["영어", "한국어", "중국어"]
 SCHOOL = r"초등|중학|고등학교|고교|중등|다문화 ?(?:학생|아동)|小学|中学|高中"
 UNIVERSITY = r"(?i)대학(?!수학능력)|학부|유학생|교양|전공|학문 목적|大学|本科|university|undergraduate|college"
-CONCEPTS = [("ChatGPT", "(?i)chat *-?gpt|챗 *gpt|챗지피티|gpt-?[345]|^gpt$"), ("generative AI", "(?i)generative +(ai|artificial)|생성형 *(ai|인공지능)"), ("prompt", "(?i)prompt|프롬프트"), ("chatbot", "(?i)chat *-?bot|챗봇|smart +speaker|스피커"), ("machine translation", "(?i)machine +translat|기계 *번역"), ("speech", "(?i)speech|음성"), ("corpus", "(?i)corpus|말뭉치|코퍼스"), ("literacy", "(?i)literac|리터러시")]
-MODULES = {"생성형": ["ChatGPT", "generative AI", "prompt"], "도구": ["chatbot", "machine translation", "speech"], "기타": ["corpus", "literacy"]}
+REASONS = [
+    ("제2외국어", "세 언어군 밖 외국어"), ("교육맥락없음", "교육맥락 없는 순수 연구"), ("번역품질", "교육맥락 없는 순수 연구"), ("메타버스VR", "AI 비중심 연구"), ("비AI에듀테크", "AI 비중심 연구"), ("AI신호부재", "AI 비중심 연구"),
+    ("언어비특정", "언어 비특정 일반 연구"), ("교양교육", "대학 교양 교육 연구"), ("국어교과담론", "국어 교과 담론형 연구"), ("AI디지털교과서", "AI 디지털교과서 연구"), ("복수언어", "복수언어 연구"), ("기타", "기타"),
+]
+TAGS = {
+    "쓰기": ["쓰기", "작문", "글쓰기", "writing", "composition"], "말하기": ["말하기", "회화", "구어", "speaking", "oral", "conversation"], "발음": ["발음", "성조", "pronunciation", "tone"], "듣기": ["듣기", "청해", "listening"],
+    "읽기": ["읽기", "독해", "reading"], "어휘": ["어휘", "단어", "한자", "vocabulary", "lexical"], "문법": ["문법", "grammar"], "번역": ["번역", "통역", "translation", "interpret"],
+    "평가·채점": ["평가", "채점", "문항", "assessment", "scoring", "grading", "test item"], "리터러시·역량": ["리터러시", "역량", "literacy", "competenc"], "문학·문화": ["문학", "문화", "소설", "고전", "literature", "culture"],
+}
+FIELDS = [
+    ("교육", r"(?i)교육|교수|학습|교과|교사|수업|리터러시|작문연구|독서연구|educat|learn|teach|pedagog|instruct|curricul|tesol|\bcall\b|recall|computer assisted|language learning|language teaching|second language writing|assessing writing|system$|elt journal|tesl|efl|esl|literacy|school"),
+    ("문학", r"(?i)문학|소설|시학|시가|고전|비평|문예|literat|literary|poetry|poetic|文學|文学|詩|诗"),
+    ("언어학", r"(?i)언어|어학|국어학|문법|음성|의미|형태|통사|화용|담화|어문|말뭉치|코퍼스|번역|통역|우리말|배달말|한글|국어|영어학|중국어|linguist|language|grammar|phonet|phonolog|semantic|syntax|pragmat|discourse|corpus|translat|interpret|語言|语言|語法|语法|漢語|汉语|中國語|中国语"),
+]
 # End of fixed values.
 
+#: Concepts of the keywords of the test tables and their modules, this library's own; a dictionary of other data is passed
+#: to expr.first_match in the same form.
+CONCEPTS = [
+    ("chat models", "chatgpt|챗지피티"), ("language models", "generative ai|생성형 ai|language model|언어모델"), ("artificial intelligence", "artificial intelligence|인공지능|ai assisted"), ("scoring", "automated scoring|자동채점|item generation"),
+    ("translation", "machine translation|기계번역|번역기"), ("voice", "tts/stt|speech synthesis|음성합성|pronunciation|발음"), ("dialogue", "virtual interlocutor|가상 대화자|dialogue agent|smart speaker|챗봇"), ("texts", "text difficulty|digital textbook|디지털 교재|learning log|학습 로그"),
+]
+MODULES = {"models": ["chat models", "language models", "artificial intelligence"], "speech": ["voice", "dialogue"], "text": ["scoring", "translation", "texts"]}
+
 #: One row per paper, latest harvest, categories folded.
 FACT = r"""fact AS (
   SELECT arti_id, pub_year, journal, kci_field, title_ko, title_en, authors, kw_ko, kw_en, TRY_CAST(cited AS INTEGER) AS cited, doi, permalink, prev_include, include, learner, func, focus, tool, boundary, confidence,
@@ -90,13 +111,10 @@ def cube_totals(spark, d):
     return crosstab.with_totals(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-_REASONS = [("제2외국어", "language"), ("언어비특정", "language"), ("복수언어", "language"), ("교육맥락없음", "context"), ("국어교과담론", "context"), ("메타버스VR", "technology"), ("비AI에듀테크", "technology"), ("AI신호부재", "technology"), ("번역품질", "other"), ("기타", "other")]
-
-
-@query(f"""WITH {FACT}, m(reason, label) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _REASONS)})
+@query(f"""WITH {FACT}, m(reason, label) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in REASONS)})
 SELECT coalesce(m.label, '(other)') AS label, count(*) AS n FROM fact f LEFT JOIN m USING (reason) WHERE f.include <> 'Y' GROUP BY 1""")
 def category_rollup(spark, d):
-    return crosstab.roll_up(fact(spark, d, "include", "reason").where("include <> 'Y'"), "reason", _REASONS, "(other)")
+    return crosstab.roll_up(fact(spark, d, "include", "reason").where("include <> 'Y'"), "reason", REASONS, "(other)")
 
 
 @query(f"""WITH {FACT}, c AS (SELECT CASE WHEN pub_year <= 2022 THEN 'to 2022' ELSE 'from 2023' END AS period, meth, count(*) AS n FROM fact WHERE include = 'Y' AND pub_year IS NOT NULL AND meth <> '' GROUP BY 1, 2)
@@ -135,8 +153,10 @@ def year_histogram(spark, d):
 
 @query("""SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(100.0 * avg(CASE WHEN value = 0 THEN 1 ELSE 0 END), 4) AS zero_pct, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type""")
 def value_summary(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(v), 2).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(100.0 * F.avg((v == 0).cast("int")), 4).alias("zero_pct"), F.round(F.stddev_pop(v), 6).alias("sd"))
+    v, e = F.col("value"), table(spark, d, "events").select("event_type", "value")
+    median = ranking.exact_median(e, "event_type", "value").select("event_type", F.round("median", 6).alias("median"))
+    out = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(v), 2).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.round(100.0 * F.avg((v == 0).cast("int")), 4).alias("zero_pct"), F.round(F.stddev_pop(v), 6).alias("sd"))
+    return out.join(median, "event_type", "left")
 
 
 @query(f"""WITH {FACT}, a AS (SELECT lang, avg(coalesce(cited, 0)) AS mean FROM fact WHERE include = 'Y' AND lang IN ({_list(LANGS)}) GROUP BY lang)
@@ -170,12 +190,14 @@ def merge_patch(spark, d):
     return merge.update_from(out, restore, "arti_id", again, {"include": F.lit("Y"), "func": F.col("u.before")})
 
 
-@query("""WITH a AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal > 0), b AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH a AS (SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN '' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_acctbal > 0), b AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal < 5000)
 SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(nullif(a.c_name, ''), b.c_name) AS c_name, coalesce(nullif(a.c_mktsegment, ''), b.c_mktsegment) AS c_mktsegment, CASE WHEN b.c_custkey IS NULL THEN 'base' WHEN a.c_custkey IS NULL THEN 'new' ELSE 'both' END AS src FROM a FULL JOIN b ON a.c_custkey = b.c_custkey""")
 def upsert_provenance(spark, d):
+    """Customers in credit, a segment of them blank, and customers below a balance: two overlapping ranges that hold all
+    customers between them."""
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
-    return merge.upsert(c.where("c_acctbal > 0").drop("c_acctbal"), new, "c_custkey")
+    base = c.where("c_acctbal > 0").select("c_custkey", "c_name", F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return merge.upsert(base, c.where("c_acctbal < 5000").drop("c_acctbal"), "c_custkey")
 
 
 @query(f"""WITH {FACT}, {_LAST_VERDICT}, l AS (SELECT * FROM last WHERE id IS NOT NULL)
@@ -213,7 +235,8 @@ def change_matrix(spark, d):
 @query("""SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY text""")
 def dedup_keep_first(spark, d):
     src = table(spark, d, "documents").where("text is not null and text <> ''").select("text", "doc_id")
-    return src.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    first = src.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("first"))  # a key of 128 bits, not the text
+    return first.select("first.doc_id", "first.text")
 
 
 # --- ranking, sets, formats --------------------------------------------------------------------------------------
@@ -345,11 +368,6 @@ def stratified_sample(spark, d):
     return sampling.stratified(fact(spark, d, "lang").where(F.col("lang").isin(*LANGS)), "lang", "arti_id", 200, 20261001, ["중국어"])
 
 
-_CODED = r"""last AS (SELECT id, coder, arg_max(row(upper(left(regexp_replace(include, '^[\s\p{Z}]+', ''), 1)), regexp_replace(nfc_normalize(func), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), regexp_replace(nfc_normalize(meth), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), coded_at) AS r FROM codings WHERE include IS NOT NULL AND id IS NOT NULL AND coder IN ('K00001', 'K00002') GROUP BY 1, 2),
-pair AS (SELECT a.id, a.r[1] AS ai, b.r[1] AS bi, a.r[2] AS af, b.r[2] AS bf, a.r[3] AS am, b.r[3] AS bm FROM last a JOIN last b ON a.id = b.id AND a.coder = 'K00001' AND b.coder = 'K00002'),
-long AS (SELECT id, 'include' AS axis, ai AS a, bi AS b FROM pair UNION ALL SELECT id, 'func', af, bf FROM pair WHERE ai = 'Y' AND bi = 'Y' UNION ALL SELECT id, 'meth', am, bm FROM pair WHERE ai = 'Y' AND bi = 'Y')"""
-
-
 def _last_codings(spark, d):
     c = table(spark, d, "codings").where(F.col("include").isNotNull() & F.col("id").isNotNull() & F.col("coder").isNotNull())
     c = c.select("id", "coder", "coded_at", F.upper(F.substring(X.trimmed(F.col("include")), 1, 1)).alias("include"), folded("func").alias("func"), folded("meth").alias("meth"))
@@ -363,13 +381,6 @@ def _per_axis(pair: DataFrame, *keys: str) -> DataFrame:
     return pair.select(*keys, F.explode(F.array_compact(F.array(axis("include", F.lit(True)), axis("func", both), axis("meth", both)))).alias("x")).select(*keys, "x.*")
 
 
-def _coder_pairs(spark, d):
-    """Of the fixed pair of coders K00001 and K00002."""
-    last = _last_codings(spark, d).where(F.col("coder").isin("K00001", "K00002"))
-    of = lambda who, n: last.where(F.col("coder") == who).select("id", F.col("r").alias(n))
-    return _per_axis(of("K00001", "a").join(of("K00002", "b"), "id"), "id")
-
-
 def _all_coder_pairs(spark, d):
     """Of every two coders of a paper, the lesser name first; a paper has few coders, so their answers are one array."""
     papers = _last_codings(spark, d).groupBy("id").agg(F.collect_list(F.struct("coder", "r")).alias("all"))
@@ -379,37 +390,6 @@ def _all_coder_pairs(spark, d):
     return _per_axis(pair, "id", "coder_a", "coder_b")
 
 
-@query(f"""WITH {_CODED}, l AS (SELECT * FROM long WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT axis, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po FROM l GROUP BY axis), x AS (SELECT axis, a AS v, count(*) AS x FROM l GROUP BY 1, 2), y AS (SELECT axis, b AS v, count(*) AS y FROM l GROUP BY 1, 2), e AS (SELECT axis, sum(x * y) AS xy FROM x JOIN y USING (axis, v) GROUP BY axis), k AS (SELECT n.axis, n, po, coalesce(xy, 0) / (n * n) AS pe FROM n LEFT JOIN e USING (axis)), f AS (SELECT axis, n, po, pe, CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END AS kappa FROM k)
-SELECT axis, n, round(po, 6) AS po, round(pe, 6) AS pe, round(kappa, 6) AS kappa, CASE WHEN kappa > 0.8 THEN 'almost perfect' WHEN kappa > 0.6 THEN 'substantial' WHEN kappa > 0.4 THEN 'moderate' WHEN kappa > 0.2 THEN 'fair' ELSE 'slight' END AS band FROM f""")
-def kappa_axes(spark, d):
-    k = stats.kappa(_coder_pairs(spark, d), ["axis"], "a", "b")
-    return k.select("axis", "n", *(F.round(c, 6).alias(c) for c in ("po", "pe", "kappa")), stats.landis_koch(F.col("kappa")).alias("band"))
-
-
-@query(f"""WITH {_CODED} SELECT axis, id, a, b FROM long WHERE a <> b""")
-def disagreements(spark, d):
-    return _coder_pairs(spark, d).where("a <> b").select("axis", "id", "a", "b")
-
-
-@query(f"""WITH {FACT}, {_CODED} SELECT coalesce(nullif(f.lang, ''), '(none)') AS lang, count(*) AS n, count(*) FILTER (WHERE a = b) AS same FROM long JOIN fact f ON f.arti_id = long.id WHERE axis = 'include' GROUP BY 1""")
-def agreement_by_group(spark, d):
-    p = _coder_pairs(spark, d).where("axis = 'include'").withColumnRenamed("id", "arti_id").join(fact(spark, d, "lang"), "arti_id")
-    return p.groupBy(F.coalesce(X.blank_to_null(F.col("lang")), F.lit("(none)")).alias("lang")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
-
-
-@query(f"""WITH {FACT}, {_CODED}, s AS (SELECT 'first' AS scenario, a AS meth FROM long WHERE axis = 'meth' UNION ALL SELECT 'second', b FROM long WHERE axis = 'meth'), z AS (SELECT scenario, meth, count(*) AS k FROM s WHERE meth <> '' GROUP BY 1, 2), t AS (SELECT scenario, sum(k) AS n FROM z GROUP BY 1), p AS (SELECT meth, count(*) AS big_k FROM fact WHERE include = 'Y' AND meth <> '' GROUP BY meth), q AS (SELECT sum(big_k) AS big_n FROM p)
-SELECT z.scenario, p.meth, z.k, p.big_k, round(t.n * p.big_k / q.big_n, 6) AS expected, CASE WHEN z.k < t.n * p.big_k / q.big_n THEN 'under' ELSE 'over' END AS side FROM z JOIN t USING (scenario) JOIN p ON p.meth = z.meth CROSS JOIN q""")
-def substitution_sensitivity(spark, d):
-    """Counts of either coder against the pool: which categories change side if the other coder's labels are used."""
-    pairs = _coder_pairs(spark, d).where("axis = 'meth'")
-    both = pairs.select(F.explode(F.array(F.struct(F.lit("first").alias("scenario"), F.col("a").alias("meth")), F.struct(F.lit("second").alias("scenario"), F.col("b").alias("meth")))).alias("s")).select("s.*").where("meth <> ''")
-    z = both.groupBy("scenario", "meth").agg(F.count("*").alias("k"))
-    p = fact(spark, d, "include", "meth").where("include = 'Y' and meth <> ''").groupBy("meth").agg(F.count("*").alias("big_k"))
-    out = z.join(z.groupBy("scenario").agg(F.sum("k").alias("n")), "scenario").join(p, "meth").crossJoin(F.broadcast(p.agg(F.sum("big_k").alias("big_n"))))  # one row
-    e = F.col("n") * F.col("big_k") / F.col("big_n")
-    return out.select("scenario", "meth", "k", "big_k", F.round(e, 6).alias("expected"), F.when(F.col("k") < e, "under").otherwise("over").alias("side"))
-
-
 _CODED_ALL = r"""last AS (SELECT id, coder, arg_max(row(upper(left(regexp_replace(include, '^[\s\p{Z}]+', ''), 1)), regexp_replace(nfc_normalize(func), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), regexp_replace(nfc_normalize(meth), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), coded_at) AS r FROM codings WHERE include IS NOT NULL AND id IS NOT NULL AND coder IS NOT NULL GROUP BY 1, 2),
 pair AS (SELECT a.id, a.coder AS coder_a, b.coder AS coder_b, a.r[1] AS ai, b.r[1] AS bi, a.r[2] AS af, b.r[2] AS bf, a.r[3] AS am, b.r[3] AS bm FROM last a JOIN last b ON a.id = b.id AND a.coder < b.coder),
 long AS (SELECT id, coder_a, coder_b, 'include' AS axis, ai AS a, bi AS b FROM pair UNION ALL SELECT id, coder_a, coder_b, 'func', af, bf FROM pair WHERE ai = 'Y' AND bi = 'Y' UNION ALL SELECT id, coder_a, coder_b, 'meth', am, bm FROM pair WHERE ai = 'Y' AND bi = 'Y')"""
@@ -438,7 +418,7 @@ def pair_agreement_by_group(spark, d):
 @query(f"""WITH {FACT}, {_CODED_ALL}, s AS (SELECT coder_a, coder_b, 'first' AS scenario, a AS meth FROM long WHERE axis = 'meth' UNION ALL SELECT coder_a, coder_b, 'second', b FROM long WHERE axis = 'meth'), z AS (SELECT coder_a, coder_b, scenario, meth, count(*) AS k FROM s WHERE meth <> '' GROUP BY ALL), t AS (SELECT coder_a, coder_b, scenario, sum(k) AS n FROM z GROUP BY ALL), p AS (SELECT meth, count(*) AS big_k FROM fact WHERE include = 'Y' AND meth <> '' GROUP BY meth), q AS (SELECT sum(big_k) AS big_n FROM p)
 SELECT z.coder_a, z.coder_b, z.scenario, p.meth, z.k, p.big_k, round(t.n * p.big_k / q.big_n, 6) AS expected, CASE WHEN z.k < t.n * p.big_k / q.big_n THEN 'under' ELSE 'over' END AS side FROM z JOIN t USING (coder_a, coder_b, scenario) JOIN p ON p.meth = z.meth CROSS JOIN q""")
 def pair_substitution(spark, d):
-    """substitution_sensitivity of every two coders that share a paper."""
+    """Counts of either coder of a pair against the pool: which categories are on another side by the other's labels."""
     by = ["coder_a", "coder_b", "scenario"]
     pairs = _all_coder_pairs(spark, d).where("axis = 'meth'")
     both = pairs.select("coder_a", "coder_b", F.explode(F.array(F.struct(F.lit("first").alias("scenario"), F.col("a").alias("meth")), F.struct(F.lit("second").alias("scenario"), F.col("b").alias("meth")))).alias("s")).select("coder_a", "coder_b", "s.*").where("meth <> ''")
@@ -463,9 +443,8 @@ def size_matched_first(spark, d):
 
 @query(r"""WITH p AS (SELECT DISTINCT arti_id, doi, permalink, harvested_at FROM papers WHERE arti_id IS NOT NULL) SELECT DISTINCT arti_id, regexp_extract(permalink, 'ART\d{6,}') AS id_in_link, CASE WHEN contains(doi, '<') THEN '' ELSE doi END AS doi, TRY_CAST(nullif(regexp_extract(doi, '(\d{4})', 1), '') AS INTEGER) AS first_number, regexp_extract(permalink, '^[a-z]+://([^/]+)', 1) AS host FROM p""")
 def link_parts(spark, d):
-    p = files.redacted(table(spark, d, "papers").where("arti_id is not null").select("arti_id", "doi", "permalink"), [])
-    raw = table(spark, d, "papers").where("arti_id is not null").select("arti_id", X.year_of(F.col("doi")).alias("first_number")).distinct()
-    return p.select("arti_id", F.regexp_extract("permalink", r"(ART\d{6,})", 1).alias("id_in_link"), "doi", F.regexp_extract("permalink", "^[a-z]+://([^/]+)", 1).alias("host")).distinct().join(raw, "arti_id")
+    p = table(spark, d, "papers").where("arti_id is not null").select("arti_id", X.year_of(F.col("doi")).alias("first_number"), F.col("doi"), F.regexp_extract("permalink", r"(ART\d{6,})", 1).alias("id_in_link"), F.regexp_extract("permalink", "^[a-z]+://([^/]+)", 1).alias("host"))
+    return files.redacted(p, []).distinct()
 
 
 @query("""SELECT coalesce(lang, '') AS lang, count(*) FILTER (WHERE regexp_matches(text, '[가-힣]')) AS hangul, count(*) FILTER (WHERE NOT regexp_matches(text, '[가-힣]') AND regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]')) AS han, count(*) FILTER (WHERE NOT regexp_matches(text, '[가-힣]') AND NOT regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]')) AS other FROM documents WHERE text IS NOT NULL GROUP BY 1""".replace("\\\\", "\\"))
@@ -474,13 +453,10 @@ def script_class(spark, d):
     return s.groupBy("lang").agg(*(F.count_if(F.col("script") == k).alias(k) for k in ("hangul", "han", "other")))
 
 
-_FIELD_RULES = [("education", "교육|교수|학습|수업|리터러시"), ("literature", "문학|소설|시학|비평"), ("linguistics", "언어|어학|문법|음성|의미|담화|글말|말글|번역")]
-
-
-@query(f"""SELECT journal, CASE {' '.join(f"WHEN regexp_matches(journal, '{p}') THEN '{n}'" for n, p in _FIELD_RULES)} ELSE 'other' END AS field, count(*) AS n FROM papers WHERE journal IS NOT NULL AND trim(journal) <> '' GROUP BY 1, 2""")
+@query(f"""SELECT journal, CASE {' '.join(f"WHEN regexp_matches(journal, '{p}') THEN '{n}'" for n, p in FIELDS)} ELSE '기타' END AS field, count(*) AS n FROM papers WHERE journal IS NOT NULL AND trim(journal) <> '' GROUP BY 1, 2""")
 def field_classifier(spark, d):
     j = table(spark, d, "papers").where("journal is not null and trim(journal) <> ''").groupBy("journal").agg(F.count("*").alias("n"))
-    return j.select("journal", X.first_match(F.col("journal"), _FIELD_RULES, "other").alias("field"), "n")
+    return j.select("journal", X.first_match(F.col("journal"), [(n, portable(p)) for n, p in FIELDS], "기타").alias("field"), "n")
 
 
 @query(rf"""WITH {FACT} SELECT arti_id, regexp_matches(coalesce(title_ko, ''), '{SCHOOL}') AS school, regexp_matches(replace(coalesce(title_ko, ''), '대학수학능력', ''), '{UNIVERSITY.replace("(?!수학능력)", "")}') AS university FROM fact""")
@@ -489,13 +465,10 @@ def school_level(spark, d):
     return fact(spark, d, "title_ko").select("arti_id", t.rlike(SCHOOL).alias("school"), t.rlike(UNIVERSITY).alias("university"))
 
 
-_TAGS = {"쓰기": ["쓰기", "작문", "writing"], "말하기": ["말하기", "회화", "speaking"], "읽기": ["읽기", "독해", "reading"], "어휘": ["어휘", "vocabulary"], "문법": ["문법", "grammar"], "발음": ["발음", "pronunciation"]}
-
-
-@query(f"""WITH {FACT} SELECT arti_id, concat_ws('; ', {', '.join("CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in _TAGS.items())}) AS tags FROM (SELECT arti_id, concat_ws(' ', nullif(title_ko, ''), nullif(title_en, ''), nullif(kw_ko, ''), nullif(kw_en, '')) AS t FROM fact)""")
+@query(f"""WITH {FACT} SELECT arti_id, concat_ws('; ', {', '.join("CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in TAGS.items())}) AS tags FROM (SELECT arti_id, concat_ws(' ', nullif(title_ko, ''), nullif(title_en, ''), nullif(kw_ko, ''), nullif(kw_en, '')) AS t FROM fact)""")
 def multi_label_tags(spark, d):
     text = F.concat_ws(" ", *(X.blank_to_null(F.col(c)) for c in ("title_ko", "title_en", "kw_ko", "kw_en")))
-    return fact(spark, d, "title_ko", "title_en", "kw_ko", "kw_en").select("arti_id", X.all_labels(text, _TAGS).alias("tags"))
+    return fact(spark, d, "title_ko", "title_en", "kw_ko", "kw_en").select("arti_id", X.all_labels(text, TAGS).alias("tags"))
 
 
 @query("""SELECT verdict_id, CASE WHEN tool IN ('ChatGPT', '챗봇', '기계번역', '기타') THEN tool WHEN tool = '챗지피티' THEN 'ChatGPT' WHEN tool = '번역기' THEN '기계번역' WHEN tool <> '' AND (contains('ChatGPT', tool) OR contains(tool, 'ChatGPT')) THEN 'ChatGPT' WHEN tool <> '' AND (contains('챗봇', tool) OR contains(tool, '챗봇')) THEN '챗봇' WHEN tool <> '' AND (contains('기계번역', tool) OR contains(tool, '기계번역')) THEN '기계번역' WHEN tool <> '' AND (contains('기타', tool) OR contains(tool, '기타')) THEN '기타' ELSE tool END AS tool FROM verdicts""")
@@ -584,8 +557,8 @@ def query_grid(spark, d):
 
 # --- graphs --------------------------------------------------------------------------------------------------------------
 
-_AUTHORS = r"""au AS (SELECT arti_id, lang, list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(authors, '[\s\p{Z}\x{85}]+', ' ', 'g'), ';'), lambda x: trim(x)), lambda x: x <> ''), lambda a: concat(trim(coalesce(nullif(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 1), ''), a)), '|', CASE WHEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '(?i)([가-힣A-Za-z&\.\- ]*?(?:대학교|대학|학교|연구원|연구소|교육청|University|College|Institute|School))', 1)) <> '' THEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '(?i)([가-힣A-Za-z&\.\- ]*?(?:대학교|대학|학교|연구원|연구소|교육청|University|College|Institute|School))', 1)) ELSE regexp_split_to_array(trim(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2)), ' +')[1] END))) AS keys FROM fact WHERE include = 'Y' AND lang IN ('영어', '한국어', '중국어') AND authors IS NOT NULL),
-nodes AS (SELECT DISTINCT lang, unnest(keys) AS node FROM au), ends AS (SELECT arti_id, lang, unnest(keys) AS node FROM au), edges AS (SELECT DISTINCT a.lang, a.node AS src, b.node AS dst FROM ends a JOIN ends b ON a.arti_id = b.arti_id AND a.lang = b.lang AND a.node < b.node)"""
+_AUTHORS = r"""au AS (SELECT arti_id, lang, list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(authors, '[\s\p{Z}\x{85}]+', ' ', 'g'), ';'), lambda x: trim(x)), lambda x: x <> ''), lambda a: concat(trim(coalesce(nullif(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 1), ''), a)), '|', CASE WHEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '__INST__', 1)) <> '' THEN trim(regexp_extract(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2), '__INST__', 1)) ELSE regexp_split_to_array(trim(regexp_extract(a, '^([^(]+?) *(?:\((.*)\))?$', 2)), ' +')[1] END))) AS keys FROM fact WHERE include = 'Y' AND lang IN ('영어', '한국어', '중국어') AND authors IS NOT NULL),
+nodes AS (SELECT DISTINCT lang, unnest(keys) AS node FROM au), ends AS (SELECT arti_id, lang, unnest(keys) AS node FROM au), edges AS (SELECT DISTINCT a.lang, a.node AS src, b.node AS dst FROM ends a JOIN ends b ON a.arti_id = b.arti_id AND a.lang = b.lang AND a.node < b.node)""".replace("__INST__", X.INSTITUTION)
 
 
 def _authors(spark, d):

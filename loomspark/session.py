@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The number of tasks of a shuffle, for repartitions whose rows are small but cost much work each."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
@@ -32,3 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the checkpoint files of tables made by cut that nothing will read again: the older states of an iteration
+    whose newer state is cut itself. Files that are gone already are no error."""
+    for df in cuts:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

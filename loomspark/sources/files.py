@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Mapping, Sequence
 
@@ -51,14 +53,43 @@ def json_text(rows: Sequence[Mapping], pretty: bool = True) -> str:
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), bom: bool = True, mode: str = "errorifexists") -> None:
-    """CSV sorted by the given columns, in parallel range partitions; every part has the header, the byte order mark is
-    put before the first column's name."""
+    """CSV sorted by the given columns, in parallel range partitions; every part has the header, and where bom is set
+    the byte order mark before the first column's name. One file for a spreadsheet is write_csv_file."""
     out = df.orderBy(*order) if order else df
     if bom:
         out = out.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
     out.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str, order: Sequence[str] = (), bom: bool = True) -> int:
+    """One CSV file, sorted by the given columns, with a byte order mark before the header and '\\n' line ends; returns the
+    number of rows. For reports that a spreadsheet opens: rows pass through the driver one partition at a time, so
+    memory is that of one partition; write_csv is for tables."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    held, rows = io.StringIO(newline=""), 0
+    writer = csv.writer(held, lineterminator="\n")
+
+    def flush() -> None:
+        out.write(bytearray(held.getvalue().encode("utf-8")))
+        held.seek(0)
+        held.truncate()
+
+    try:
+        held.write("\ufeff" if bom else "")
+        writer.writerow(df.columns)
+        for row in (df.orderBy(*order) if order else df).toLocalIterator():
+            writer.writerow(["" if v is None else v for v in row])
+            rows += 1
+            if rows % 10_000 == 0:
+                flush()
+        flush()
+    finally:
+        out.close()
+    return rows
+
+
 def markdown(df: DataFrame, max_rows: int = 1000) -> str:
     """Pipe table of a report; a report is small, so a longer table is an error rather than a silent cut."""
     rows = df.limit(max_rows + 1).collect()

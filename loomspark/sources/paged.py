@@ -13,7 +13,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -51,6 +52,24 @@ class FolderTransport:
         return own[page - 1] if page <= len(own) else ""
 
 
+def _transport(options: dict[str, str]):
+    module, _, name = options.get("transport", "loomspark.sources.paged.HttpTransport").rpartition(".")
+    return getattr(importlib.import_module(module), name)(options)
+
+
+def _tried(call, retries: int, pause: float) -> tuple[str | None, str | None]:
+    """(body, error) of a call that may fail: tried again after a pause that grows, up to `retries` times."""
+    failed = "no attempt"
+    for attempt in range(retries):
+        try:
+            return call(), None
+        except OSError as e:
+            failed = str(e)
+            if attempt + 1 < retries:
+                time.sleep(pause * (attempt + 1))
+    return None, failed
+
+
 class _Query(InputPartition):
     def __init__(self, field: str, q: str):
         super().__init__((field, q))
@@ -68,17 +87,9 @@ class _PagedReader(DataSourceReader):
         return [_Query(f, q) for f, q in self.queries]
 
     def read(self, partition: _Query) -> Iterator[tuple]:
-        module, _, name = self.options.get("transport", "loomspark.sources.paged.HttpTransport").rpartition(".")
-        transport = getattr(importlib.import_module(module), name)(self.options)
+        transport = _transport(self.options)
         for page in range(1, self.max_pages + 1):
-            body, failed = None, ""
-            for attempt in range(self.retries):
-                try:
-                    body = transport.page(partition.field, partition.q, page, self.size)
-                    break
-                except OSError as e:
-                    failed = str(e)
-                    time.sleep(self.pause * (attempt + 1))
+            body, failed = _tried(lambda: transport.page(partition.field, partition.q, page, self.size), self.retries, self.pause)  # noqa: B023
             if body is None:
                 yield partition.field, partition.q, page, None, 0, failed
                 return
@@ -111,6 +122,32 @@ def harvest(spark: SparkSession, queries: Sequence[tuple[str, str]], **options:
     return reader.load()
 
 
+def fetch_details(ids: DataFrame, key: str, field: str = "detail", **options: str) -> DataFrame:
+    """(key, body, error): one response for each id, tried again on failure; ids are spread over the tasks of the input.
+    A null id is not asked for. A failed id has a null body and the last error."""
+    retries, pause, settings = int(options.get("retries", 3)), float(options.get("pauseMs", 500)) / 1000, dict(options)
+    kind = dict(ids.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        transport = _transport(settings)
+        for batch in batches:
+            got = [_tried(lambda: transport.page(field, str(i), 1, 1), retries, pause) for i in batch["k"]]  # noqa: B023
+            yield pd.DataFrame({"k": batch["k"], "body": [b for b, _ in got], "error": [e for _, e in got]})
+
+    asked = ids.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    return asked.mapInPandas(run, f"k {kind}, body string, error string").withColumnRenamed("k", key)
+
+
+def cached_first(ids: DataFrame, cache: DataFrame, key: str, body: str, fetched_at: str, now: Column, days: int = 30, **options: str) -> DataFrame:
+    """(key, body, error, source) of every distinct id: from the cache where it holds a response within its lifetime (the
+    youngest counts), else asked for; source is 'cache' or 'live'. Only what the cache lacks is asked for, once per id."""
+    wanted = ids.where(F.col(key).isNotNull()).select(key).distinct()
+    held = cache.where(F.col(fetched_at) > now - F.expr(f"INTERVAL {int(days)} DAYS")).groupBy(key).agg(F.max_by(body, fetched_at).alias("body"))
+    hits = wanted.join(held, key).select(key, "body", F.lit(None).cast("string").alias("error"), F.lit("cache").alias("source"))
+    missing = wanted.join(held.select(key), key, "left_anti")
+    return hits.unionByName(fetch_details(missing, key, **options).withColumn("source", F.lit("live")))
+
+
 def harvest_log(pages: DataFrame, records: DataFrame, known: DataFrame) -> DataFrame:
     """(field, q, pages, got, fresh): fresh counts ids that are not known and not seen by an earlier query."""
     base = pages.groupBy("field", "q").agg(F.count("*").alias("pages"), F.sum("records").alias("got"))

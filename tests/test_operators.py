@@ -1,9 +1,10 @@
 import math
 import random
+import statistics
 
 import pytest
 from loomspark.functions import expr as X
-from loomspark.functions import text
+from loomspark.functions import scope, text
 from loomspark.operators import graph, merge, quality, ranking, sampling, stats
 from pyspark.sql import functions as F
 
@@ -145,3 +146,109 @@ def test_snapshot_detects_change(spark):
     assert quality.snapshot(a).first() != quality.snapshot(a.withColumn("v", F.lit("x"))).first()
     with pytest.raises(AssertionError):
         quality.assert_empty(a, "rows")
+
+
+def test_hypergeometric_far_out_and_large(spark):
+    from fractions import Fraction
+    from math import comb
+
+    rows = [(20, 100, 30, k) for k in range(-1, 22)] + [(5, 10, 8, k) for k in range(2, 7)] + [(500, 1000, 400, 120), (3, 1_000_000_000, 1_000_000, 0), (400_000_000, 1_000_000_000, 1_000_000, 400_500)]
+    got = stats.hypergeometric_tails(spark.createDataFrame(rows, "bk bigint, bn bigint, n bigint, k bigint"), "bk", "bn", "n", "k").collect()
+    for r in got:
+        if r["bn"] <= 1000:
+            p = lambda ks: float(sum(Fraction(comb(r["bk"], i) * comb(r["bn"] - r["bk"], r["n"] - i), comb(r["bn"], r["n"])) for i in ks if 0 <= i <= r["n"]))  # noqa: E731, B023
+            assert r["p_le"] == pytest.approx(p(range(r["k"] + 1)), rel=1e-9, abs=1e-12) and r["p_ge"] == pytest.approx(p(range(max(0, r["k"]), r["n"] + 1)), rel=1e-9, abs=1e-12)
+    assert got[-2]["p_le"] == pytest.approx((1 - 1e-3) ** 3, rel=1e-4) and 0.1 < got[-1]["p_ge"] < 0.2
+
+
+def test_places_and_medians_without_a_window_over_a_group(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("aab"), rng.randrange(1000) / 2) for _ in range(501)] + [("c", 7.0), ("c", None), ("d", None), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for g in (*"abc", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        placed = ranking.number_within(df.where("v is not null"), "g", ["v"]).where(F.col("g").eqNullSafe(g)).orderBy("rank").collect()
+        assert [r["rank"] for r in placed] == list(range(len(own))) and [r["v"] for r in placed] == own
+    got = {r["g"]: r["median"] for r in ranking.exact_median(df.where("g is not null"), "g", "v").collect()}
+    assert got == {g: statistics.median(v for k, v in rows if k == g and v is not None) for g in "abc"}
+    assert ranking.exact_median(df.limit(0), "g", "v").count() == 0
+
+
+def test_rank_draws_are_simple_random_samples(spark):
+    df = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(3)] + [(None, 1)], "g string, u bigint")
+    rows = sampling.rank_draws(df, "g", "u", 4, 600, 7).collect()
+    by = {}
+    for g, u, rep in rows:
+        by.setdefault((g, rep), []).append(u)
+    assert all(len(v) == len(set(v)) == (4 if g == "a" else 3) for (g, _), v in by.items()) and len(by) == 1200
+    seen = [sum(i in v for (g, _), v in by.items() if g == "a") for i in range(10)]
+    assert min(seen) > 180 and max(seen) < 300  # 240 expected, 12 the deviation
+    with pytest.raises(ValueError):
+        sampling.rank_draws(df, "g", "u", sampling.MAX_DRAW + 1, 1, 7)
+
+
+def test_metrics_of_a_draw(spark):
+    df = spark.createDataFrame([("x", 1, ["a", "b", "a"]), ("x", 1, ["c"]), ("x", 1, ["b", "d"]), ("y", 1, []), ("y", 1, None)], "g string, rep int, keys array<string>")
+    got = {r["g"]: r[2:] for r in graph.draw_metrics(df, ["g", "rep"], "keys").collect()}
+    assert got["x"] == (3, pytest.approx(5 / 3), pytest.approx(100 / 3), 25.0, 1.0, 3, 2) and got["y"][:2] == (2, 0.0) and got["y"][3:] == (None, None, 0, 0)
+
+
+def test_components_of_paths_stars_and_isolates(spark):
+    edges = [("g", f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("g", "z0", f"z{i}") for i in range(1, 9)] + [("h", "001", "000"), ("h", "001", "001")]
+    nodes = sorted({(g, x) for g, *e in edges for x in e} | {("g", "lone")})
+    got = {(r[0], r[1]): r[2] for r in graph.components(spark.createDataFrame(nodes, "g string, node string"), spark.createDataFrame(edges, "g string, src string, dst string"), "g").collect()}
+    assert got == {(g, x): "lone" if x == "lone" else "z0" if x[0] == "z" else "000" for g, x in nodes}
+
+
+def test_scope_cases(spark):
+    cases = [
+        ("한국어교육에서 챗봇", "", "한국어"), ("국어교육과 챗봇", "", None), ("한국어 교육과 국어교육", "", "한국어"), ("AI를 활용한 EFL 쓰기 수업", "", "영어·외국어"), ("기계번역 오류 분석", "통역번역학", None), ("번역 오류와 영어 수업", "", "영어·외국어"),
+        ("형태소 분석과 한국어", "언어학", None), ("Chinese learners", "", None), ("Teaching Chinese", "", "중국어"), ("chineseness and teaching", "", None), ("수업 설계", "인문학 > 영어와문학", "영어·외국어"), ("", "국어교육", None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, t, f) for i, (t, f, _) in enumerate(cases)], "i int, t string, f string")
+    got = {r["i"]: r["s"] for r in df.select("i", scope.scope(F.col("t"), F.col("f")).alias("s")).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(cases)}
+
+
+def test_author_key_against_its_grammar():
+    import re
+
+    from loomspark.functions.text import author_key
+
+    shape = re.compile(r"\s*([^(]+?)\s*(?:\((.*)\))?\s*$")
+    rng = random.Random(4)
+    for _ in range(3000):
+        entry = "".join(rng.choice("가 홍(()) 대학교\nA소") for _ in range(rng.randrange(9)))
+        m = shape.match(entry)
+        name, affiliation = (m[1], m[2] or "") if m else (entry, "")
+        assert author_key(entry).partition("|")[0] == name.strip(), repr(entry)
+        assert affiliation.strip() or author_key(entry).endswith("|")
+
+
+def test_verdict_over_comparison_groups(spark):
+    df = spark.createDataFrame([(True, True), (True, False), (None, True), (False, None)], "a boolean, b boolean")
+    assert [r[0] for r in df.select(stats.lag_verdict([F.col("a"), F.col("b")])).collect()] == ["late against all", "late against one", "late against one", "size effect"]
+
+
+def test_fixed_decimals_round_the_binary_value(spark):
+    values = [2.675, 0.125, 0.375, 1234.5, 2.5, 1e6 + 0.005, -0.125]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.fixed(F.col("v"), 2)).collect()]
+    assert got == [f"{v:,.2f}" for v in values]
+
+
+def test_collation_goes_by_script_and_case(spark):
+    df = spark.createDataFrame([("中",), ("가",), ("b",), ("A",), ("a",), ("é",)], "w string")
+    assert [r["w"] for r in ranking.collated_places(df, "w").orderBy("place").collect()] == ["a", "A", "b", "é", "가", "中"]
+
+
+def test_release_deletes_what_was_cut(spark):
+    import os
+
+    from loomspark.session import cut, release
+
+    df = cut(spark.range(10))
+    path = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 10
+    release(df, spark.range(3))
+    release(df)
+    assert not os.path.exists(path)

@@ -110,3 +110,30 @@ def test_stream_equals_batch(spark, data, tmp_path):
         assert spark.table("firsts").count() == batch.select("user_id").distinct().count() == windows.first_seen(batch, "user_id", "ts").count()
     finally:
         q.stop()
+
+
+def test_references_by_script_and_field(spark):
+    refs = [("제목", "a", "언어 교육"), ("语言", "", "language"), ("title", "x", ""), ("소설", "", "기타지")]
+    df = spark.createDataFrame([(1, refs), (2, []), (3, None)], "i int, r array<struct<title:string,author:string,journal:string>>")
+    got = {r["i"]: r["p"] for r in df.select("i", markup.reference_profile(F.col("r"), [("edu", "교육"), ("ling", "언어|language")], "rest").alias("p")).collect()}
+    assert tuple(got[1])[:5] == (4, 2, 1, 1, 3) and got[1]["fields"] == {"edu": 1, "ling": 1, "rest": 1}
+    assert tuple(got[2])[:5] == tuple(got[3])[:5] == (0, 0, 0, 0, 0)
+    full = spark.createDataFrame([(DETAIL.replace("<title>T</title>", "<title>T</title><pubilisher>P</pubilisher><url>u</url>"),)], "d string").select(markup.detail_record(F.col("d"), full=True).alias("x")).first()["x"]["references"][0]
+    assert (full["publisher"], full["url"], full["type_code"], full["arti_id"]) == ("P", "u", "", "ART1")
+
+
+def test_only_what_the_cache_lacks_is_asked_for(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"detail|b": ["body b"], "detail|c": ["!error"], "detail|a": ["live a"]}))
+    cache = spark.createDataFrame([("a", "old a", "2024-02-01"), ("a", "cached a", "2024-02-10"), ("b", "stale", "2023-01-01")], "k string, body string, t string").withColumn("t", F.to_timestamp("t"))
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "k string")
+    got = {r["k"]: (r["body"], r["error"], r["source"]) for r in paged.cached_first(ids, cache, "k", "body", "t", F.to_timestamp(F.lit("2024-02-15")), transport="loomspark.sources.paged.FolderTransport", file=str(tmp_path / "p.json"), pauseMs="0").collect()}
+    assert got == {"a": ("cached a", None, "cache"), "b": ("body b", None, "live"), "c": (None, "page failed", "live")}
+
+
+def test_one_csv_file_with_one_mark(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, 'x "y", z'), ("a", 1, None), ("c", 3, "줄\n바꿈")], "k string, n int, t string").repartition(3)
+    assert files.write_csv_file(df, str(tmp_path / "r.csv"), ["k"]) == 3
+    raw = (tmp_path / "r.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfk,n,t\n") and raw.count(b"\xef\xbb\xbf") == 1
+    assert raw[3:].decode() == 'k,n,t\na,1,\nb,2,"x ""y"", z"\nc,3,"줄\n바꿈"\n'
+    assert files.write_csv_file(df.limit(0), str(tmp_path / "e.csv"), bom=False) == 0 and (tmp_path / "e.csv").read_text() == "k,n,t\n"
