@@ -1,9 +1,13 @@
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from loomspark.functions.packed import distinct_papers, parse_packed, split_packed
+from loomspark.plans import packed as queries
+
+from oracle import same
 
 
 def entries(text):
@@ -78,3 +82,19 @@ def test_distinct_papers_takes_the_latest_harvest(spark):
     df = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b"), ("p", 2, "b"), (None, 3, "c")], "arti_id string, h int, kw string")
     df = df.selectExpr("arti_id", "timestamp_seconds(h) AS harvested_at", "kw")
     assert [tuple(r) for r in distinct_papers(df, "kw").collect()] == [("p", "b")]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_sql(spark, data, name):
+    assert same(spark, queries.QUERIES[name], queries.SQL[name], data)
+
+
+def test_the_grammar_as_sql():
+    import duckdb
+
+    cases = ["a; b, c", "a, b / c", 'x "q; r"; y', "홍(가; 나; (다, 라)); 이", "(open; b", "a&amp;b; c", "“p, q”, r", "a / b · c", '"he said ""hi"""; z', "  ", "", "a；b｜c", "‘s’; t)", "x/y, z"]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE papers AS SELECT unnest(?) AS v, unnest(range(?)) AS i", [cases, len(cases)])
+    c.execute("CREATE VIEW p AS SELECT i::VARCHAR AS arti_id, v AS authors, NULL AS harvested_at FROM papers")
+    rows = c.execute("WITH " + queries.entries_sql(("authors",)).replace("FROM papers", "FROM p") + " SELECT arti_id::INT, entry_pos, entry FROM entries").fetchall()
+    assert sorted(rows) == sorted((i, k, e) for i, t in enumerate(cases) for k, (e, _) in enumerate(parse_packed(t), 1))
