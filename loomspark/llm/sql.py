@@ -1,6 +1,8 @@
 """DuckDB SQL of the pN_ queries that SQL can express."""
 
+from loomspark.functions.expr import INSTITUTION
 from loomspark.plans.catalog import FACT
+from loomspark.plans.packed import WHITE, entries_sql
 
 #: Latest decision per unordered pair, then reachability.
 _P2 = """
@@ -47,7 +49,21 @@ SELECT axis, items, answers, round(observed, 6) AS observed, round(expected, 6)
 _P3 = f"""WITH {FACT}, v AS (SELECT 'meth' AS field, meth AS category FROM fact UNION ALL SELECT 'reason', reason FROM fact UNION ALL SELECT 'lang_group', lang FROM fact), n AS (SELECT field, category, count(*) AS n FROM v WHERE category <> '' GROUP BY 1, 2),
 t AS (SELECT t.*, greatest(CAST(t.target_share AS DECIMAL(20,10)) * t.sample_rows, t.min_rows) AS quota, coalesce(n.n, 0) AS available FROM sample_targets t LEFT JOIN n USING (field, category))"""
 
+_FULL, _HALF = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c != 0xFF07), "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x27)
+_NFKC = f"translate(nfc_normalize(entry), '{_FULL}', '{_HALF}')"
+_P4 = f"""WITH {entries_sql(("kw_ko", "kw_en"))}, t AS (SELECT field, arti_id, trim(regexp_replace(lower(trim(regexp_replace({_NFKC}, '{WHITE}+', ' ', 'g'))), '[·\\-–—]+', ' ', 'g')) AS term FROM entries),
+f AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT arti_id) AS records FROM t WHERE term <> '' GROUP BY 1, 2), terms AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records * 100 > (SELECT count(*) FROM one) * 5 THEN 'common' ELSE '' END AS mark FROM f)"""
+_SHAPE = r"^\s*([^(]+?)\s*(?:\((.*)\))?\s*$"
+_P6 = f"""WITH {entries_sql(("authors",))}, e AS (SELECT arti_id, regexp_replace({_NFKC}, '{WHITE}+', ' ', 'g') AS e FROM entries), p AS (SELECT arti_id, trim(regexp_extract(e, '{_SHAPE}', 1)) AS name, regexp_extract(e, '{_SHAPE}', 2) AS place FROM e),
+k AS (SELECT DISTINCT arti_id, name || '|' || CASE WHEN trim(regexp_extract(place, '{INSTITUTION}', 1)) <> '' THEN trim(regexp_extract(place, '{INSTITUTION}', 1)) ELSE regexp_split_to_array(trim(place), ' +')[1] END AS a FROM p WHERE name <> '' AND trim(place) <> ''), n AS (SELECT a, count(*) AS n FROM k GROUP BY a),
+ab AS (SELECT x.a AS item_a, y.a AS item_b, count(*) AS n_ab FROM k x JOIN k y ON x.arti_id = y.arti_id AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 5),
+pairs AS (SELECT item_a, item_b, na.n AS n_a, nb.n AS n_b, n_ab, round(n_ab * (SELECT count(*) FROM one) / (na.n * nb.n), 6) AS lift FROM ab JOIN n na ON na.a = item_a JOIN n nb ON nb.a = item_b WHERE n_ab * (SELECT count(*) FROM one) >= 3 * na.n * nb.n)"""
+
 SQL = {
+    "p4_terms": _P4 + " SELECT field, term, occurrences, records, mark FROM terms",
+    "p4_found": _P4 + " SELECT field, term, mark FROM terms WHERE mark <> ''",
+    "p6_pairs": _P6 + " SELECT * FROM pairs",
+    "p6_found": _P6 + " SELECT item_a AS author_a, item_b AS author_b FROM pairs",
     "p1_agreement": _P1,
     "p3_found": f"""WITH {FACT}, v AS (SELECT 'meth' AS field, meth AS category FROM fact UNION ALL SELECT 'reason', reason FROM fact UNION ALL SELECT 'lang_group', lang FROM fact), n AS (SELECT field, category, count(*) AS n FROM v WHERE category <> '' GROUP BY 1, 2)
 SELECT t.plan_id, t.category FROM sample_targets t LEFT JOIN n USING (field, category) WHERE greatest(CAST(t.target_share AS DECIMAL(20,10)) * t.sample_rows, t.min_rows) > coalesce(n.n, 0)""",
