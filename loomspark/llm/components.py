@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.session import cut
+from loomspark.session import cut, release
 
 
 def _least(edges: DataFrame, node: str) -> DataFrame:
@@ -23,7 +23,7 @@ def star_components(edges: DataFrame, left: str, right: str, max_rounds: int = 1
 
     Edges may come in either order and repeatedly; those with a null end or two equal ends link nothing and are left
     out, so an empty input gives no row. Ids are of any ordered type. Stops when a round of both stars moves no edge,
-    O(log² n) rounds; RuntimeError if max_rounds are not enough.
+    O(log² n) rounds; RuntimeError if max_rounds are not enough. The files of states that are done with are deleted.
     """
     a, b = F.col(left), F.col(right)
     state = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).distinct().withColumn("moved", F.lit(True)))
@@ -42,7 +42,8 @@ def star_components(edges: DataFrame, left: str, right: str, max_rounds: int = 1
                 )
             ).alias("e")
         ).select("e.*")
-        state = cut(small.groupBy("child", "parent").agg(F.max("moved").alias("moved")))
+        older, state = state, cut(small.groupBy("child", "parent").agg(F.max("moved").alias("moved")))
+        release(older, large)
     else:
         raise RuntimeError(f"components: edges still move after {max_rounds} rounds")
     links = state.select(F.col("child").alias("node"), F.col("parent").alias("component"))

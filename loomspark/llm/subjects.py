@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.session import cut
+from loomspark.session import cut, release
 
 #: Labelled documents used to fit the first phrases, at most; beyond it those with the least hash of their id are used.
 MAX_SEEDS = 100_000
@@ -261,8 +261,10 @@ def propagate(links: DataFrame, seeds: DataFrame, n_areas: int, max_rounds: int
                 return state.select("doc_id", "areas")
         reached = edges.join(closed, "phrase").select("doc_id", F.explode("holds").alias("a")).groupBy("doc_id").agg(F.collect_set("a").alias("fresh"))
         merged = F.when(F.coalesce("seed", F.lit(False)), F.col("areas")).otherwise(F.array_sort(F.array_union(F.coalesce("areas", none), F.coalesce("fresh", none))))
+        older = [state, edges, held]
         state = cut(state.join(reached, "doc_id", "full_outer").select("doc_id", merged.alias("areas"), F.coalesce("seed", F.lit(False)).alias("seed")))
         edges = cut(edges.join(closed.select("phrase"), "phrase", "left_anti"))
+        release(*older)
     if max_rounds:
         raise RuntimeError(f"subjects: phrases still close after {max_rounds} rounds")
     return state.select("doc_id", "areas")
