@@ -13,6 +13,14 @@ from loomspark.plans.catalog import _AUTHORS, _authors, FACT, FUNCS, LANGS, METH
 CELL_DRAWS, CELL_PAPERS, DRAWS, PAPERS, SEED, LARGE = 10_000, 48, 2_000, 68, 20260930, 9
 # End of fixed values.
 
+#: CTEs of the graphs of draws d (g, arti_id, keys): a row per graph with its size, components, largest one and edges.
+GRAPHS = """g_nodes AS (SELECT DISTINCT g, unnest(keys) AS node FROM d), g_ends AS (SELECT arti_id, g, unnest(keys) AS node FROM d), g_edges AS (SELECT DISTINCT a.g, a.node AS src, b.node AS dst FROM g_ends a JOIN g_ends b ON a.arti_id = b.arti_id AND a.g = b.g AND a.node < b.node),
+g_num AS (SELECT g, node, row_number() OVER (ORDER BY g, node) AS i FROM g_nodes), g_e AS (SELECT a.i AS x, b.i AS y FROM g_edges e JOIN g_num a ON a.g = e.g AND a.node = e.src JOIN g_num b ON b.g = e.g AND b.node = e.dst), g_twice AS (SELECT x, y FROM g_e UNION ALL SELECT y, x FROM g_e),
+walk(i, c) USING KEY (i) AS (SELECT i, i FROM g_num UNION SELECT b.y, min(w.c) FROM walk w JOIN g_twice b ON b.x = w.i JOIN recurring.walk r ON r.i = b.y WHERE w.c < r.c GROUP BY b.y),
+g_size AS (SELECT g, c, count(*) AS size FROM walk JOIN g_num USING (i) GROUP BY 1, 2), g_comp AS (SELECT g, count(*) AS components, max(size) AS largest, sum(size)::BIGINT AS nodes FROM g_size GROUP BY g),
+g_deg AS (SELECT n.g, count(*) FILTER (WHERE t.x IS NULL) AS isolates FROM g_num n LEFT JOIN (SELECT DISTINCT x FROM g_twice) t ON t.x = n.i GROUP BY n.g), g_cnt AS (SELECT g, count(*) AS edges FROM g_edges GROUP BY g),
+graphs AS (SELECT split_part(g, '|', 1) AS lang, split_part(g, '|', 2)::INTEGER AS rep, nodes, coalesce(edges, 0) AS edges, components, largest, 100.0 * isolates / nodes AS isolates_pct, 2.0 * coalesce(edges, 0) / nodes AS mean_degree FROM g_comp JOIN g_deg USING (g) LEFT JOIN g_cnt USING (g))"""
+
 
 def _drawn_sql(pool: str, key: str, n: int, reps: int) -> str:
     """CTE drawn (lang, rep, key): the draws of sampling.rank_draws over a pool (lang, key)."""
@@ -112,10 +120,20 @@ def _summary(own: DataFrame, draws: DataFrame, names: dict[str, str], at_least:
 @query()
 def resampled_network(spark, d):
     """All six graph metrics over 2,000 draws of 68 papers, with the share of draws whose largest component has nine
-    authors or more; its parts that SQL can say are resampled_authorship, and single draws are tested by counting."""
+    authors or more; its parts that SQL can say are resampled_authorship and resampled_graph, single draws are tested by
+    counting."""
     own, drawn = _drawn_authors(spark, d)
     nodes, edges = graph.nodes_of(own, "lang", "keys"), graph.pair_edges(own, "lang", "keys")
     sizes = graph.component_sizes(graph.components(nodes, edges, "lang"), "lang")
     shape = graph.summary(graph.degrees(nodes, edges, "lang"), "lang").select("lang", "isolates_pct", "mean_degree")
     observed = _people(own, "lang").join(sizes, "lang").join(shape, "lang")
     return _summary(observed, graph.draw_metrics(drawn, ["lang", "rep"], "keys"), {m: m for m in _METRICS}, LARGE)
+
+
+@query(f"""WITH RECURSIVE {FACT}, {_AUTHORS}, keyed AS (SELECT au.*, rep, row_number() OVER (PARTITION BY lang, rep ORDER BY md5(concat_ws('|', '{SEED}', rep, arti_id))) AS r FROM au CROSS JOIN (SELECT unnest(range(1, 21)) AS rep)), d AS (SELECT arti_id, keys, lang || '|' || rep AS g FROM keyed WHERE r <= 60), {GRAPHS} SELECT lang, rep, nodes, edges, components, largest, round(isolates_pct, 4) AS isolates_pct FROM graphs""")
+def resampled_graph(spark, d):
+    """Size of the largest component and isolates in 20 samples of 60 papers per language."""
+    draws = sampling.simple_draws(_authors(spark, d), "lang", "arti_id", 60, 20, 20260930).withColumn("g", F.concat_ws("|", "lang", "rep"))
+    nodes, edges = graph.nodes_of(draws, "g", "keys"), graph.pair_edges(draws, "g", "keys")
+    sizes = graph.component_sizes(graph.components(nodes, edges, "g"), "g").join(graph.summary(graph.degrees(nodes, edges, "g"), "g"), "g")
+    return sizes.select(F.split("g", "\\|")[0].alias("lang"), F.split("g", "\\|")[1].cast("int").alias("rep"), "nodes", "edges", "components", "largest", "isolates_pct")
