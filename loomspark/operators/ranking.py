@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.session import cut
+from loomspark.session import cut, small_side
 
 
 def top_with_ties(df: DataFrame, value: str, k: int) -> DataFrame:
@@ -85,11 +85,11 @@ def number_within(df: DataFrame, by: str, order: Sequence[str], name: str = "ran
     split = 33  # monotonically_increasing_id puts the partition above this many bits
     ranged = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
     local = cut(ranged.withColumn("__mono", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__mono", split))
-    sizes = local.groupBy("__part", by).agg(F.count("*").alias("__n"), F.min("__mono").alias("__first"))
-    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")
-    starts = sizes.select("__part", F.col(by).alias("__by"), (before - F.col("__first")).alias("__shift"))  # one row per task and group in it
-    joined = local.join(F.broadcast(starts), (local["__part"] == starts["__part"]) & local[by].eqNullSafe(starts["__by"]))
-    return joined.select(*(local[c] for c in df.columns), (local["__mono"] + F.col("__shift")).alias(name))
+    sizes = local.groupBy("__part", F.col(by).alias("__by")).agg(F.count("*").alias("__n"), F.min("__mono").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("__by").orderBy("__part")) - F.col("__n")
+    starts = small_side(cut(sizes.select(F.col("__part").alias("__p"), "__by", (before - F.col("__first")).alias("__shift"))))  # one row per task and group in it
+    joined = local.join(starts, (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return joined.select(*df.columns, (F.col("__mono") + F.col("__shift")).alias(name))
 
 
 def exact_median(df: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:

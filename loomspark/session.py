@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,16 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a table that a join sends to every task; larger ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df for a join: with a broadcast hint if it is counted to have few rows, else as it is. Meant for tables that are
+    cut or cheap, as the count runs at once."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:

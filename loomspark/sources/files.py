@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from loomspark.functions.scope import portable
+
 CORRUPT = "_corrupt_record"
 
 
@@ -42,6 +44,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def concept_rules(path: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
+    """(rules, modules) of a concept dictionary: JSON with `concepts` (id, name, priority, patterns) and `modules` (name,
+    concepts by id). rules are for expr.first_match, in order of priority, letter case ignored; modules name concepts."""
+    with open(path, encoding="utf-8") as f:
+        book = json.load(f)
+    ordered = sorted(book["concepts"], key=lambda c: c["priority"])
+    names = {c["id"]: c["name"] for c in ordered}
+    return [(c["name"], portable("(?i)" + "|".join(f"(?:{p})" for p in c["patterns"]))) for c in ordered], {m["name"]: [names[i] for i in m["concepts"]] for m in book.get("modules", [])}
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object per line, nulls kept; in parallel."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)

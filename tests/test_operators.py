@@ -252,3 +252,12 @@ def test_release_deletes_what_was_cut(spark):
     release(df, spark.range(3))
     release(df)
     assert not os.path.exists(path)
+
+
+def test_places_in_many_groups_without_a_broadcast(spark, monkeypatch):
+    from loomspark import session
+
+    monkeypatch.setattr(session.small_side, "__defaults__", (2,))
+    df = spark.range(300).selectExpr("id % 40 AS g", "id AS v").repartition(5)
+    rows = ranking.number_within(df, "g", ["v"]).collect()
+    assert {(r["g"], r["v"], r["rank"]) for r in rows} == {(i % 40, i, i // 40) for i in range(300)}

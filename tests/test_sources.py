@@ -137,3 +137,13 @@ def test_one_csv_file_with_one_mark(spark, tmp_path):
     assert raw.startswith(b"\xef\xbb\xbfk,n,t\n") and raw.count(b"\xef\xbb\xbf") == 1
     assert raw[3:].decode() == 'k,n,t\na,1,\nb,2,"x ""y"", z"\nc,3,"줄\n바꿈"\n'
     assert files.write_csv_file(df.limit(0), str(tmp_path / "e.csv"), bom=False) == 0 and (tmp_path / "e.csv").read_text() == "k,n,t\n"
+
+
+def test_concepts_from_a_dictionary_file(spark, tmp_path):
+    from loomspark.functions import expr as X
+
+    book = {"concepts": [{"id": "2", "name": "writing", "priority": 2, "patterns": ["writing", "쓰기"]}, {"id": "1", "name": "chat", "priority": 1, "patterns": [r"chat\s*-?bot", r"\bgpt\b"]}], "modules": [{"name": "tools", "concepts": ["1"]}]}
+    (tmp_path / "c.json").write_text(json.dumps(book), encoding="utf-8")
+    rules, modules = files.concept_rules(str(tmp_path / "c.json"))
+    df = spark.createDataFrame([(t,) for t in ("Chat bot writing", "my GPT쓰기", "egpts 쓰기", "none")], "t string")
+    assert modules == {"tools": ["chat"]} and [r[0] for r in df.select(X.first_match(F.col("t"), rules, "-")).collect()] == ["chat", "chat", "writing", "-"]
