@@ -9,18 +9,13 @@ from loomspark.functions.packed import distinct_papers
 from loomspark.functions.text import folded
 from loomspark.llm.bpe import TOKENIZER_DIR, token_counter
 from loomspark.llm.cube import cube_sample
-from loomspark.session import cut
+from loomspark.session import cut, small_side
 
 
 #: Target rows that go to every task; a larger plan is joined by shuffle.
 MAX_TARGETS = 100_000
 
 
-def _to_all(targets: DataFrame) -> DataFrame:
-    """The targets for a join: broadcast if they are few, so that the other side keeps its input partitions."""
-    return F.broadcast(targets) if targets.limit(MAX_TARGETS + 1).count() <= MAX_TARGETS else targets
-
-
 def _exact(column: str):
     return F.col(column).cast("decimal(20,10)")
 
@@ -56,7 +51,7 @@ def proportional_sample(papers: DataFrame, targets: DataFrame, seed: int = 20260
     """
     plan, members = category_plan(papers, targets)
     rates = plan.where("available > 0").groupBy("plan_id", "field", "category").agg(F.max(F.least(F.lit(1.0), F.col("quota").cast("double") / F.col("available"))).alias("pi"))
-    units = members.join(_to_all(rates), ["field", "category"]).select(F.concat_ws("\x1f", F.coalesce(F.col("plan_id").cast("string"), F.lit("")), "field", "category").alias("s"), "arti_id", "pi")
+    units = members.join(small_side(rates, MAX_TARGETS), ["field", "category"]).select(F.concat_ws("\x1f", F.coalesce(F.col("plan_id").cast("string"), F.lit("")), "field", "category").alias("s"), "arti_id", "pi")
     drawn = cut(cube_sample(units, "s", "arti_id", "pi", seed=seed))
     part = F.split("stratum", "\x1f", 3)
     sample = drawn.select(part[0].try_cast("int").alias("plan_id"), part[1].alias("field"), part[2].alias("category"), F.col("unit").alias("arti_id"))
@@ -88,7 +83,7 @@ def source_mix(documents: DataFrame, targets: DataFrame, vocabulary: str = "byte
     plan = plan.withColumn("passes", F.least(F.coalesce(F.when(F.col("source_tokens") > 0, passes), F.lit(0.0)), F.col("max_uses").cast("double")))
     plan = cut(plan.withColumn("whole", F.floor("passes")).withColumn("pi", F.col("passes") - F.col("whole")))
     keyed = plan.groupBy("mix_id", "source").agg(F.max("whole").alias("whole"), F.max_by("pi", "whole").alias("pi"))
-    members = sized.join(_to_all(keyed), "source")
+    members = sized.join(small_side(keyed, MAX_TARGETS), "source")
     drawn = cut(cube_sample(members.select(F.concat_ws("\x1f", F.col("mix_id").cast("string"), "source").alias("s"), "doc_id", "pi", "tokens"), "s", "doc_id", "pi", "tokens", seed))
     part = F.split("stratum", "\x1f", 2)
     extra = drawn.select(part[0].cast("int").alias("mix_id"), part[1].alias("source"), F.col("unit").alias("doc_id"), F.lit(1).cast("bigint").alias("uses"), F.col("size").cast("bigint").alias("tokens"))
