@@ -122,12 +122,16 @@ def reference_profile(references: Column, rules: Sequence[tuple[str, str]], defa
     fields, a MAP from the class of the journal by ordered rules to its count. Counted inside the row; a null array has 0."""
     read = F.transform(references, lambda r: F.struct(*(r[c].alias(c) for c in ("title", "author", "journal"))))
     refs = F.coalesce(read, F.array().cast("array<struct<title:string,author:string,journal:string>>"))
-    number = lambda xs: F.size(xs).cast("bigint")
-    scripts = F.transform(refs, lambda r: script(F.concat_ws(" ", r["title"], r["journal"], r["author"])))
-    classes = F.filter(F.transform(refs, lambda r: F.when(F.trim(r["journal"]) == "", "").otherwise(first_match(r["journal"], rules, default))), lambda c: c != "")
-    of = lambda k: number(F.filter(scripts, lambda x: x == k)).alias(k)
-    fields = F.map_from_entries(F.transform(F.array(*(F.lit(n) for n, _ in rules), F.lit(default)), lambda n: F.struct(n.alias("key"), number(F.filter(classes, lambda c: c == n)).alias("value"))))
-    return F.struct(number(refs).alias("refs"), of("hangul"), of("han"), of("other"), number(classes).alias("with_journal"), fields.alias("fields"))
+    label = lambda r: F.struct(script(F.concat_ws(" ", r["title"], r["journal"], r["author"])).alias("s"), F.when(F.trim(r["journal"]) == "", "").otherwise(first_match(r["journal"], rules, default)).alias("c"))
+
+    def counts(labels: Column) -> Column:
+        number = lambda f: F.size(F.filter(labels, f)).cast("bigint")
+        of = lambda k: number(lambda x: x["s"] == k).alias(k)
+        names = F.array(*(F.lit(n) for n, _ in rules), F.lit(default))
+        fields = F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), number(lambda x: x["c"] == n).alias("value"))))
+        return F.struct(F.size(labels).cast("bigint").alias("refs"), of("hangul"), of("han"), of("other"), number(lambda x: x["c"] != "").alias("with_journal"), fields.alias("fields"))
+
+    return F.transform(F.array(F.transform(refs, label)), counts)[0]  # in an array of one, so that labels are made once
 
 
 def coverage(detail: Column) -> list[Column]:

@@ -55,7 +55,10 @@ _WORD = "[A-Za-z0-9_]"
 def portable(pattern: str) -> str:
     """A pattern with its white space and word borders spelled out, as engines read \\s and \\b differently."""
     border = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-    return pattern.replace(r"\s", r"[\s\p{Z}]").replace(r"\b", border)
+    spelled = pattern.replace(r"\s", r"[\s\p{Z}]")
+    spelled = re.sub(r"\\b(?=[A-Za-z0-9])", lambda _: f"(?<!{_WORD})", spelled)  # beside a letter one look is enough
+    spelled = re.sub(r"(?<=[A-Za-z0-9])\\b", lambda _: f"(?!{_WORD})", spelled)
+    return spelled.replace(r"\b", border)
 
 
 def any_of(patterns: Sequence[str]) -> str:

@@ -67,7 +67,8 @@ _FIELD = "CASE WHEN trim({j}) = '' THEN '' " + " ".join(f"WHEN regexp_matches({{
 SELECT arti_id, count(*) AS refs, count(*) FILTER (WHERE regexp_matches(s, '[가-힣]')) AS hangul, count(*) FILTER (WHERE NOT regexp_matches(s, '[가-힣]') AND regexp_matches(s, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS han, count(*) FILTER (WHERE NOT regexp_matches(s, '[가-힣]') AND NOT regexp_matches(s, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS other, count(*) FILTER (WHERE field <> '') AS with_journal, {', '.join(f"count(*) FILTER (WHERE field = '{n}') AS {c}" for n, c in (('교육', 'education'), ('언어학', 'linguistics'), ('문학', 'literature'), ('기타', 'rest')))} FROM t GROUP BY arti_id""".replace("\\\\", "\\"))
 def reference_profile(spark, d):
     """References of each paper by script and by field of the journal, counted inside the record."""
-    r = _detail_xml(spark, d).select("arti_id", markup.reference_profile(markup.detail_record(F.col("xml")).getField("references"), [(n, scope.portable(p)) for n, p in FIELDS], "기타").alias("p"))
+    refs = _detail_xml(spark, d).select("arti_id", markup.detail_record(F.col("xml")).getField("references").alias("refs"))
+    r = refs.select("arti_id", markup.reference_profile(F.col("refs"), [(n, scope.portable(p)) for n, p in FIELDS], "기타").alias("p"))
     names = {"교육": "education", "언어학": "linguistics", "문학": "literature", "기타": "rest"}
     return r.select("arti_id", *(F.col(f"p.{c}").alias(c) for c in ("refs", "hangul", "han", "other", "with_journal")), *(F.coalesce(F.col("p.fields")[n], F.lit(0)).cast("bigint").alias(c) for n, c in names.items()))
 
