@@ -134,28 +134,33 @@ class BytePairEncoder:
         out = self.out
         return [out[k] for k in tokens]
 
-    def _pieces(self, text: str | None) -> Iterator[list[int]]:
-        memo = self.pieces
-        for piece in self.split(text) if text else ():
-            known = memo.get(piece)
-            if known is None:
-                known = self.encode_piece(piece)
-                if len(piece) <= PIECE_MEMO_BYTES:
-                    if len(memo) >= PIECE_MEMO:
-                        memo.clear()
-                    memo[piece] = known
-            yield known
+    def _remember(self, piece: str) -> list[int]:
+        known = self.encode_piece(piece)
+        if len(piece) <= PIECE_MEMO_BYTES:
+            if len(self.pieces) >= PIECE_MEMO:
+                self.pieces.clear()
+            self.pieces[piece] = known
+        return known
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; null and '' give []. Names of special tokens are ordinary text."""
         ids: list[int] = []
-        for known in self._pieces(text):
-            ids += known
+        if text:
+            get = self.pieces.get
+            for piece in self.split(text):
+                known = get(piece)
+                ids += self._remember(piece) if known is None else known
         return ids
 
     def count(self, text: str | None) -> int:
         """Number of ids of a text."""
-        return sum(map(len, self._pieces(text)))
+        n = 0
+        if text:
+            get = self.pieces.get
+            for piece in self.split(text):
+                known = get(piece)
+                n += len(self._remember(piece) if known is None else known)
+        return n
 
 
 @lru_cache(maxsize=4)
