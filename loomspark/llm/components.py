@@ -3,7 +3,8 @@
 Edges point from a child to a smaller parent. Both rewrites need only the least parent of every node: large-star hangs
 the children of a node on the node's own least parent, small-star hangs the other parents of a node on its least
 parent. Each is one aggregation with map-side combine and one join whose build side has one row per node; the probe
-side may be skewed (a node with a third of all edges), which AQE splits. Nothing is collected.
+side may be skewed (a node with a third of all edges), which AQE splits. Groups that came to rest leave the work after
+each round, so rounds shrink with what still moves. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -27,29 +28,39 @@ def star_components(edges: DataFrame, left: str, right: str, max_rounds: int = 1
     """
     a, b = F.col(left), F.col(right)
     state = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).distinct().withColumn("moved", F.lit(True)))
+    done: list[DataFrame] = []
     for _ in range(max_rounds):
-        if not state.where("moved").limit(1).count():
+        if state.where("moved").isEmpty():
             break
         up = _least(state, "parent")
         large = state.join(up, "parent", "left").select("child", F.coalesce("least", "parent").alias("parent"), F.col("least").isNotNull().alias("moved"))
-        large = large.groupBy("child", "parent").agg(F.max("moved").alias("moved"))
-        large = cut(large)
+        large = cut(large.groupBy("child", "parent").agg(F.max("moved").alias("moved")))
         joined = large.join(_least(large, "child"), "child")
-        small = joined.select(
-            F.explode(
-                F.when(F.col("parent") == F.col("least"), F.array(F.struct("child", "parent", "moved"))).otherwise(
-                    F.array(F.struct(F.col("parent").alias("child"), F.col("least").alias("parent"), F.lit(True).alias("moved")))
-                )
-            ).alias("e")
-        ).select("e.*")
-        older, state = state, cut(small.groupBy("child", "parent").agg(F.max("moved").alias("moved")))
-        release(older, large)
+        aside = F.struct(F.col("parent").alias("child"), F.col("least").alias("parent"), F.lit(True).alias("moved"))
+        small = joined.select(F.when(F.col("parent") == F.col("least"), F.struct("child", "parent", "moved")).otherwise(aside).alias("e")).select("e.*")
+        after = cut(small.groupBy("child", "parent").agg(F.max("moved").alias("moved")))
+        flagged = cut(_busy(after))
+        release(state, large, after)
+        state = flagged.where("busy").select("child", "parent", "moved")
+        done.append(flagged.where("not busy").select("child", "parent"))
     else:
         raise RuntimeError(f"components: edges still move after {max_rounds} rounds")
-    links = state.select(F.col("child").alias("node"), F.col("parent").alias("component"))
+    links = state.select("child", "parent")
+    for d in done:
+        links = links.unionByName(d)
+    links = links.select(F.col("child").alias("node"), F.col("parent").alias("component"))
     return links.unionByName(links.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _busy(edges: DataFrame) -> DataFrame:
+    """edges with busy: whether the star of the parent has a node that a moved edge touches. The star of a parent without
+    is a whole component at rest: an edge that did not move through both rewrites has a parent that is no child and a child
+    that is no parent, but by edges that moved."""
+    touched = edges.where("moved").select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+    near = edges.join(touched.withColumnRenamed("node", "child"), "child", "left_semi").select("parent").unionByName(touched.withColumnRenamed("node", "parent"))
+    return edges.join(near.distinct().withColumn("busy", F.lit(True)), "parent", "left").select("child", "parent", "moved", F.coalesce("busy", F.lit(False)).alias("busy"))
+
+
 def latest_links(matches: DataFrame, known: DataFrame, left: str = "left_id", right: str = "right_id", decision: str = "decision", decided_at: str = "decided_at", known_id: str = "mention_id") -> DataFrame:
     """(a, b) with a < b of the pairs whose latest decision is a match.
 

@@ -46,3 +46,26 @@ def test_latest_decision_counts(spark):
 def test_string_ids(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b")], "x string, y string")
     assert {tuple(r) for r in c.star_components(df, "x", "y").collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_groups_at_rest_leave_the_work_whole(spark):
+    """Many small random graphs side by side, so that groups come to rest in different rounds."""
+    rng = random.Random(12)
+    edges = []
+    for g in range(60):
+        n = rng.randrange(2, 25)
+        own = [(i, i + 1) for i in range(n)] if g % 6 == 0 else [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 2 * n))]
+        edges += [(100 * g + a, 100 * g + b) for a, b in own]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {tuple(r) for r in c.star_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    assert got == {(x, root(x)) for x in linked}
