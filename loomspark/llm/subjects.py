@@ -292,7 +292,7 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, max
     known = spark.sparkContext.broadcast(fit)
     ids = spark.createDataFrame([(i,) for i in fit], "doc_id bigint")  # at most MAX_SEEDS rows
     labelled = cut(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
-    phrases, _ = _select(cut(_count_terms(labelled, n, known, {}, set())), n, 0.5, 0.75, 0.5)
+    phrases, _ = _select(cut(_count_terms(labelled, n, known, {}, set())), n, 0.34, 0.75, 0.5)  # two labelled documents suffice, the corpus verifies
     _, passing = _select(cut(_count_terms(labelled, n, known, phrases, set())), n, 0.5, 0.75, 0.5)
     phrases2, passing2 = _select(cut(_count_terms(docs, n, known, phrases, passing)), n, 0.5, 0.65, 0.45)
     found = propagate(_links(docs, phrases2, passing2), seeds, n, max_rounds)
