@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -75,3 +76,14 @@ def test_too_many_labels_are_an_error(spark):
     many = spark.range(12).selectExpr("'x' AS axis", "string(id) AS item", "'c' AS coder", "string(id) AS label")
     with pytest.raises(ValueError):
         s.fit(many, max_labels=10)
+
+
+def test_driver_holds_one_table_at_a_time(spark):
+    coders, width = 3000, 20
+    answers = spark.range(60_000).selectExpr("'a' AS axis", "concat('p', id div 4) AS item", f"concat('c', (id * 7919) % {coders}) AS coder", f"concat('l', pmod(hash(id), {width})) AS label")
+    tracemalloc.start()
+    r = s.fit(answers, max_rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert r.reliability.count() == coders and r.posteriors.count() == 15_000
+    assert most < 3 * coders * width**2 * 8
