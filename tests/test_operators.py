@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import statistics
 
 import pytest
@@ -107,6 +108,31 @@ def test_betweenness_against_enumeration(spark):
     assert all(got[v] == pytest.approx(want[v], abs=1e-8) for v in names)
 
 
+@pytest.mark.parametrize("large", [0, 1_000])
+def test_betweenness_of_cliques_twins_and_pieces(spark, monkeypatch, large):
+    monkeypatch.setattr(graph, "LARGE_COMPONENT", large)
+    rng = random.Random(8)
+    names = [f"n{i:02d}" for i in range(40)]
+    papers = [rng.sample(names[:24], rng.choice([2, 2, 3, 4])) for _ in range(16)] + [["n24", "n25", "n26"], ["n26", "n27"], ["n28", "n29"]] + [[v] for v in names]
+    papers += [[papers[i][0], papers[i][1], f"n{30 + 2 * i}", f"n{31 + 2 * i}"] for i in range(4)]
+    rec = spark.createDataFrame([("g", p) for p in papers], "grp string, items array<string>")
+    nodes, edges = graph.nodes_of(rec, "grp", "items"), graph.pair_edges(rec, "grp", "items")
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(nodes, edges, graph.components(nodes, edges, "grp"), "grp", 3).collect()}
+    want = _shortest_path_shares(names, {tuple(sorted((x, y))) for p in papers for x in p for y in p if x < y})
+    assert all(got[v] == pytest.approx(want[v], abs=1e-8) for v in names)
+
+
+def test_betweenness_of_many_leaves_is_quick(spark):
+    a, b = 30_000, 2_000
+    edges = spark.range(a).selectExpr("'g' AS grp", "'h1' AS src", "concat('x', id) AS dst").union(spark.range(b).selectExpr("'g'", "'h2'", "concat('y', id)")).union(spark.sql("SELECT 'g', 'h1', 'h2'"))
+    nodes = edges.selectExpr("grp", "explode(array(src, dst)) AS node").distinct()
+    began = time.monotonic()
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(nodes, edges, nodes.selectExpr("*", "'h1' AS component"), "grp").where("betweenness > 0").collect()}
+    assert time.monotonic() - began < 45
+    pairs = (a + b + 1) * (a + b)
+    assert got == {"h1": pytest.approx((a * (a - 1) + 2 * a * (b + 1)) / pairs, abs=1e-8), "h2": pytest.approx((b * (b - 1) + 2 * b * (a + 1)) / pairs, abs=1e-8)}
+
+
 def test_quotas_sum_up(spark):
     df = spark.createDataFrame([(s, i) for s, k in (("a", 7), ("b", 7), ("c", 3)) for i in range(k)], "s string, i int")
     q = {r["s"]: r["quota"] for r in sampling.quotas(df, "s", 10).collect()}
