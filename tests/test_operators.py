@@ -287,3 +287,27 @@ def test_places_in_many_groups_without_a_broadcast(spark, monkeypatch):
     df = spark.range(300).selectExpr("id % 40 AS g", "id AS v").repartition(5)
     rows = ranking.number_within(df, "g", ["v"]).collect()
     assert {(r["g"], r["v"], r["rank"]) for r in rows} == {(i % 40, i, i // 40) for i in range(300)}
+
+
+def test_betweenness_of_a_large_component(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    n = 210_000
+    spokes = spark.range(1, n).selectExpr("'g' AS g", "'000000' AS src", "lpad(string(id), 6, '0') AS dst")
+    nodes = spark.range(n).selectExpr("'g' AS g", "lpad(string(id), 6, '0') AS node")
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(nodes, spokes, nodes.withColumn("component", F.lit("000000")), "g", 2).where("betweenness > 0").collect()}
+    assert got == {"000000": 1.0}
+    rng = np.random.default_rng(5)
+    edges = np.unique(np.sort(rng.integers(0, 60_000, (90_000, 2)), axis=1), axis=0)
+    edges = edges[edges[:, 0] < edges[:, 1]]
+    tracemalloc.start()
+    simplicial = graph._simplicial(edges[:, 0], edges[:, 1], 60_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = {}
+    for x, y in edges.tolist():
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    assert all(simplicial[v] == all(y in near[x] for x in near[v] for y in near[v] if x != y) for v in near) and most < 600 * 60_000
