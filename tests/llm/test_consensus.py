@@ -87,3 +87,24 @@ def test_driver_holds_one_table_at_a_time(spark):
     tracemalloc.stop()
     assert r.reliability.count() == coders and r.posteriors.count() == 15_000
     assert most < 3 * coders * width**2 * 8
+
+
+def test_driver_never_holds_a_whole_table(spark):
+    coders, width = 12_000, 20
+    answers = spark.range(60_000).selectExpr("'a' AS axis", "concat('p', id div 4) AS item", f"concat('c', (id * 7919) % {coders}) AS coder", f"concat('l', pmod(hash(id), {width})) AS label")
+    tracemalloc.start()
+    r = s.fit(answers, max_rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert r.reliability.count() == coders and r.posteriors.count() == 15_000
+    assert most < coders * width**2 * 8 / 3
+
+
+def test_tables_by_files_and_by_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_NUMBERS", 300)  # blocks of a few coders
+    answers = spark.range(600).selectExpr("'a' AS axis", "concat('p', id div 4) AS item", "concat('c', (id * 7919) % 40) AS coder", "concat('l', pmod(hash(id div 4) + int(id % 4 = 0), 5)) AS label")
+    rows = lambda r: {x["item"]: x["p"] for x in r.posteriors.collect()}
+    files = rows(s.fit(answers, max_rounds=3))
+    monkeypatch.setattr(s, "_shared_folder", lambda spark: None)
+    sent = rows(s.fit(answers, max_rounds=3))
+    assert files.keys() == sent.keys() and all(files[k] == pytest.approx(sent[k], abs=1e-12) for k in files)
